@@ -1,8 +1,9 @@
-"""Toxicity: a counterfactual-regularised bag-of-words classifier."""
+"""Toxicity: a counterfactual-regularised classifier on words, word beginnings and how densely they occur."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +35,7 @@ class ToxicityParams:
     """max_rows bounds the labelled rows that the classifier is fitted on and max_words its vocabulary; both fix the
     memory of the driver. max_swaps bounds the counterfactual sentences taken from those rows."""
 
-    max_rows: int = 20_000
+    max_rows: int = 10_000
     max_words: int = 4_000
     max_swaps: int = 20_000
     min_rows: int = 3
@@ -45,24 +46,62 @@ class ToxicityParams:
     groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS
 
 
+#: Lengths of word beginnings that are features of their own: stems survive inflection and compounding.
+STEMS = range(4, 9)
+#: A feature that occurs twice and in at least one of so many words also counts as dense.
+DENSE = 200
+#: Words that a scoring task remembers the features of.
+CACHE = 500_000
+
+
+def word_features(word: str) -> list[str]:
+    """The word itself and, marked by ^, its beginnings."""
+    return [word, *("^" + word[:k] for k in STEMS if len(word) >= k)]
+
+
+def features(text: str | None) -> set[str]:
+    """Features of a whole text; a + at the end marks a dense one."""
+    counts = Counter(TOKEN.findall(text.lower())) if text else {}
+    total: Counter[str] = Counter()
+    for word, k in counts.items():
+        for f in word_features(word):
+            total[f] += k
+    n = sum(counts.values())
+    return {*total, *(f + "+" for f, k in total.items() if k >= 2 and k * DENSE >= n)}
+
+
 @dataclass
 class ToxicityModel:
-    """Weights of words that occur in a text, and a bias."""
+    """Weights of features of a text, and a bias."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
 
-    def logit(self, text: str | None) -> float:
-        w = self.weights
-        # sorted: the sum is the same on every rerun
-        return self.bias + float(sum(w[t] for t in sorted(tokens(text) & w.keys())))
-
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -60, 60))))
-
-
-def tokens(text: str | None) -> set[str]:
-    return set(TOKEN.findall(text.lower())) if text else set()
+    def scorer(self):
+        """text -> score, the same as of features() but looking only at features that have a weight."""
+        known = {f.removesuffix("+") for f in self.weights}
+        cache: dict[str, tuple[str, ...]] = {}
+        weights, bias = self.weights, self.bias
+
+        def score(text: str | None) -> float:
+            counts = Counter(TOKEN.findall(text.lower())) if text else {}
+            total: dict[str, int] = {}
+            for word, k in counts.items():
+                own = cache.get(word)
+                if own is None:
+                    if len(cache) >= CACHE:
+                        cache.clear()
+                    own = cache[word] = tuple(f for f in word_features(word) if f in known)
+                for f in own:
+                    total[f] = total.get(f, 0) + k
+            n, z = sum(counts.values()), bias
+            for f in sorted(total):  # in one order, so that reruns agree to the last bit
+                z += weights.get(f, 0.0)
+                if total[f] >= 2 and total[f] * DENSE >= n:
+                    z += weights.get(f + "+", 0.0)
+            return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+
+        return score
 
 
 def held_out(doc_id: Column) -> Column:
@@ -74,7 +113,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label, word = [], []
         for y, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist()):
-            found = tokens(text)
+            found = features(text)
             label += [y] * len(found)
             word += found
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(word, pa.string())], ["label", "word"])
@@ -87,16 +126,17 @@ def _rows(vocabulary: dict[str, int], partner: dict[str, tuple[str, ...]]):
             for doc_id, y, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "label", "text"))):
                 kind.append(y)
                 key.append(doc_id)
-                a.append(sorted(vocabulary[t] for t in tokens(text) & vocabulary.keys()))
+                a.append(sorted(vocabulary[t] for t in features(text) & vocabulary.keys()))
                 b.append(None)
                 for sentence in SENTENCE.split(text or ""):
-                    found = tokens(sentence)
-                    for term in sorted(found & partner.keys()):
+                    words = TOKEN.findall(sentence.lower())
+                    for term in sorted(partner.keys() & set(words)):
+                        own = sorted(vocabulary[t] for t in features(sentence) & vocabulary.keys())
                         for other in partner[term]:
+                            swapped = features(" ".join(other if w == term else w for w in words))
                             kind.append(-1)
                             key.append(doc_id)
-                            swapped = found - {term} | {other}
-                            a.append(sorted(vocabulary[t] for t in found & vocabulary.keys()))
+                            a.append(own)
                             b.append(sorted(vocabulary[t] for t in swapped & vocabulary.keys()))
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -180,13 +220,13 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
     """Adds to each row the toxicity of its whole text, 0 to 1; null and empty texts get the score of no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words weights and the identity terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        one = shared.value.scorer()
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            scores = pa.array([m.score(t) for t in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
