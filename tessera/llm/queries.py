@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import chat, mixing, toxicity, urlfilter, warc
+from . import chat, mixing, simhash, toxicity, urlfilter, warc
 from .common import durable, n_words, table
 
 RULES = (
@@ -51,6 +51,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.components(simhash.fingerprints(docs, width=3), limit=3)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.new_folder(spark)
     index = warc.write_archives(table(spark, sf_dir, "pages"), folder, min_revisit_bytes=0)
@@ -75,6 +81,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_toxicity": op3_toxicity,
+    "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
