@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import chat, mixing, simhash, toxicity, urlfilter, warc
+from . import chat, mixing, simhash, substring, toxicity, urlfilter, warc
 from .common import durable, n_words, table
 
 RULES = (
@@ -63,6 +63,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mix(durable(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
@@ -83,6 +88,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
+    "op6_substring": op6_substring,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }
