@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import durable
@@ -50,20 +52,24 @@ def reply_paths(messages: DataFrame, top_k: int | None = 1) -> DataFrame:
         .select("tree", "id", F.when(F.col("known"), F.col("up")).alias("up"), F.col("score").alias("gain"), F.lit(1).cast("long").alias("steps")),
         "chat-jump",
     )
+    # messages that have reached their root leave the recursion and only serve as ancestors
     tables, waiting = [jump], jump.where("up IS NOT NULL").count()
+    ended = [jump.where("up IS NULL")]
     while waiting:
-        above = jump.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("g2"), F.col("steps").alias("s2"))
+        everyone = reduce(DataFrame.unionByName, ended, tables[-1].where("up IS NOT NULL"))
+        above = everyone.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("g2"), F.col("steps").alias("s2"))
         jump = durable(
-            jump.join(above, ["tree", "up"], "left")
-            .select("tree", "id", F.col("up2").alias("up"), (F.col("gain") + F.coalesce("g2", F.lit(0.0))).alias("gain"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps")),
+            tables[-1].where("up IS NOT NULL").join(above, ["tree", "up"])
+            .select("tree", "id", F.col("up2").alias("up"), (F.col("gain") + F.col("g2")).alias("gain"), (F.col("steps") + F.col("s2")).alias("steps")),
             "chat-jump",
         )
         left = jump.where("up IS NOT NULL").count()
         if left == waiting:  # only cycles and what hangs on them never reach a root
             break
         tables.append(jump)
+        ended.append(jump.where("up IS NULL"))
         waiting = left
-    rooted = jump.where("up IS NULL").select("tree", "id", F.col("gain").alias("total"), F.col("steps").alias("n"))
+    rooted = reduce(DataFrame.unionByName, ended).select("tree", "id", F.col("gain").alias("total"), F.col("steps").alias("n"))
     inner = tables[0].where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
     leaves = rooted.join(inner, ["tree", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "id"))
