@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import chat, mixing, simhash, substring, toxicity, urlfilter, warc
+from . import chat, decontaminate, mixing, neighbours, simhash, substring, toxicity, urlfilter, warc
 from .common import durable, n_words, table
 
 RULES = (
@@ -43,6 +43,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -68,6 +72,11 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mix(durable(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
@@ -85,10 +94,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_substring": op6_substring,
+    "op7_neighbours": op7_neighbours,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }
