@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import chat, decontaminate, mixing, neighbours, simhash, substring, toxicity, urlfilter, warc
+from . import chat, decontaminate, mixing, neighbours, simhash, substring, suffix, toxicity, urlfilter, warc
 from .common import durable, n_words, table
 
 RULES = (
@@ -77,6 +77,14 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return suffix.remove_repeats(docs, keep=False).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mix(durable(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
@@ -100,6 +108,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_substring": op6_substring,
     "op7_neighbours": op7_neighbours,
+    "op8_suffix_array": op8_suffix_array,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }

@@ -72,10 +72,10 @@ def anchors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
                 starts, ends, data = _tokens(text)
                 if len(starts) < window:
                     continue
-                a = W.Anchors(W.word_hashes(data, starts, ends), window, k)
-                hashes.append(a.grams[a.at].view(np.int64))
-                places.append(_tagged(_tag(text), a.at))
-                docs_.append(np.full(len(a.at), doc_id, dtype=np.int64))
+                at, grams = W.anchor_places(W.word_hashes(data, starts, ends), window, k)
+                hashes.append(grams.view(np.int64))
+                places.append(_tagged(_tag(text), at))
+                docs_.append(np.full(len(at), doc_id, dtype=np.int64))
             if hashes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, docs_, places)], ["hash", "doc_id", "place"])
 
@@ -170,8 +170,7 @@ def _verify(window: int, k: int):
                     continue
                 starts, ends, data = _tokens(text)
                 words = W.word_hashes(data, starts, ends)
-                a = W.Anchors(words, window, k)
-                at = a.windows_of(own)
+                at, _, _ = W.anchored_windows(words, window, k, np.sort(own))
                 h1 = W.mix(W.grams(words, window, W.BASE)[at])
                 h2 = W.mix(W.grams(words, window, W.BASE_B)[at])
                 parts.append((h1, h2, np.full(len(at), doc_id, dtype=np.int64), _tagged(tag, at)))

@@ -116,6 +116,43 @@ class Anchors:
         return np.flatnonzero(_slide(only, self.window - self.k + 1, np.minimum) == self.least)
 
 
+#: Windows of a sequence that are looked at together.
+PIECE = 1 << 20
+
+
+def _pieces(n: int, window: int):
+    """(first window, end of its tokens) of stretches that together start every window of n tokens."""
+    for a in range(0, max(n - window + 1, 0), PIECE):
+        yield a, min(a + PIECE + window - 1, n)
+
+
+def anchor_places(tokens: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all anchors of a sequence of any length, and their gram hashes."""
+    at, grams_ = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=U64)]
+    for a, b in _pieces(len(tokens), window):
+        x = Anchors(tokens[a:b], window, k)
+        new = x.at + a > (at[-1][-1] if len(at[-1]) else -1)  # an anchor of the overlap counts once
+        at.append(x.at[new] + a)
+        grams_.append(x.grams[x.at[new]])
+    return np.concatenate(at), np.concatenate(grams_)
+
+
+def anchored_windows(tokens: np.ndarray, window: int, k: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of the windows with a chosen anchor, place and hash of the first such anchor in each); chosen sorted."""
+    out = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=U64))]
+    for a, b in _pieces(len(tokens), window):
+        own = chosen[(chosen >= a) & (chosen <= b - k)] - a
+        if not len(own):
+            continue
+        x = Anchors(tokens[a:b], window, k)
+        at = x.windows_of(own)
+        i = np.searchsorted(own, at)
+        while (miss := x.grams[own[i]] != x.least[at]).any():
+            i = i + miss
+        out.append((at + a, own[i] + a, x.grams[own[i]]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     """Which of n tokens lie in a run [start, start + length)."""
     turn = np.zeros(n + 1, dtype=np.int64)
