@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -28,8 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_written: set[str] = set()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used; what is left there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in list(_written):
+        with contextlib.suppress(Exception):
+            if spark is not None and spark.sparkContext._jsc is not None:
+                remove(spark, path)
+            elif path.startswith(("/", "file:")):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def durable(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
@@ -48,20 +68,22 @@ def durable(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder by the file system that it is on."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what durable() wrote for df once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        remove(df.sparkSession, path)
+def discard(*frames: DataFrame) -> None:
+    """Deletes what durable() wrote for frames that nothing will read again."""
+    for df in frames:
+        remove(df.sparkSession, df._durable_path)
 
 
 def n_words(text: Column) -> Column:

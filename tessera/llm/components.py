@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -27,6 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         up = least.select(F.col("a").alias("p"), F.col("p").alias("q"))
         step = durable(least.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p")), "cc-step")
         maps.append(step)
+        discard(least)
+        old = live
         left = step.select("a", F.col("p").alias("x"))
         right = step.select(F.col("a").alias("b"), F.col("p").alias("y"))
         live = durable(
@@ -34,6 +36,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
             "cc-edges",
         )
+        discard(old)
         if live.isEmpty():
             break
     else:
@@ -42,4 +45,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for step in maps[1:]:
         hop = step.select(F.col("a").alias("component"), F.col("p").alias("next"))
         out = out.join(hop, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-    return durable(out, "cc-labels")
+    out = durable(out, "cc-labels")
+    discard(live, *maps)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import durable, n_words
 
@@ -25,16 +25,19 @@ def source_targets(sized: DataFrame, share: float = 1.0, max_epochs: float = 3.0
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
     s = s.withColumn("ratio", F.col("cap") / F.col("weight"))
     every = Window.partitionBy()
-    upto = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = Window.orderBy("ratio", F.col("source").asc_nulls_last())
+    upto = ranked.rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("at", F.row_number().over(ranked))
     s = s.withColumn("budget", F.sum("source_size").over(every) * F.lit(float(share)))
     s = s.withColumn(
         "level",
         (F.col("budget") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0)))
         / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))),
     )
-    # A source is capped while the level that those before it leave is at or above its own ratio; the first that is
-    # not fixes the level of the rest.
-    s = s.withColumn("water", F.min(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(every))
+    # in order of ratio, sources are capped as long as the level that those before them leave is at or above their
+    # own ratio; the first that is not fixes the level of all that follow
+    free = F.when(F.col("level") < F.col("ratio"), F.struct("at", "level"))
+    s = s.withColumn("water", F.min(free).over(every)["level"])
     level = F.coalesce(F.col("water"), F.lit(float("inf")))
     return s.select(
         "source", "source_size",
@@ -42,23 +45,28 @@ def source_targets(sized: DataFrame, share: float = 1.0, max_epochs: float = 3.0
     )
 
 
-def pareto_take(docs: DataFrame, seed: str = "tessera") -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, ...) -> the same rows with copies and taken.
-
-    Each document is due e = target / source_size copies. floor(e) copies are certain; for the fraction p the document
-    is ranked by Pareto's odds ratio u/(1-u) / (p/(1-p)), u from a seeded MD5 of doc_id, and the smallest ranks are
-    taken until the source's remaining words are nearest to spent. The cut is found by summing ranks into buckets of
-    equal odds first, then exactly inside the one bucket in which the words run out, so no source is sorted whole.
-    Ties in rank go to the smaller doc_id; repeated rows are rows of their own; reruns agree."""
+def _ranked(docs: DataFrame, seed: str) -> DataFrame:
+    """Adds certain (whole copies), p (the fraction left), odds (the rank) and slot (the rank's bucket)."""
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = docs.withColumn("u_hex", F.substring(key, 1, DIGITS))
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    d = d.withColumn("certain", F.floor(due)).withColumn("p", due - F.floor(due))
-    u = (F.conv("u_hex", 16, 10).cast("double") + 0.5) / float(16**DIGITS)
+    u = (F.conv(F.substring(key, 1, DIGITS), 16, 10).cast("double") + 0.5) / float(16**DIGITS)
+    d = docs.withColumn("certain", F.floor(due)).withColumn("p", due - F.floor(due))
     d = d.withColumn("odds", (u / (1 - u)) / F.when(F.col("p") > 0, F.col("p") / (1 - F.col("p"))))
-    # u of equal odds: the ranks mapped back to 0..1, so that buckets are of like size whatever p is
-    slots = 16**BUCKET_DIGITS
-    d = d.withColumn("slot", F.floor(F.col("odds") / (1 + F.col("odds")) * slots).cast("int"))
+    # the ranks mapped to 0..1, so that buckets are of like size
+    return d.withColumn("slot", F.floor(F.col("odds") / (1 + F.col("odds")) * 16**BUCKET_DIGITS).cast("int"))
+
+
+def _id() -> Column:
+    return F.coalesce("doc_id", F.lit(2**63 - 1))
+
+
+def pareto_cut(docs: DataFrame, seed: str = "tessera") -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target) -> one row per source: source, rest (words left after certain
+    copies), edge_slot (the bucket of ranks in which they run out) and the last rank and id that are taken in it.
+
+    Ranks are summed into buckets first, at most 16**BUCKET_DIGITS for a source; only the rows of one bucket per source
+    are put in order, so no source is sorted whole."""
+    d = _ranked(docs.select("doc_id", "source", "size", "source_size", "target"), seed)
     sums = d.groupBy("source", "slot").agg(
         F.sum(F.when(F.col("p") > 0, F.col("size")).otherwise(0)).alias("slot_size"),
         F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("t"),
@@ -71,42 +79,56 @@ def pareto_take(docs: DataFrame, seed: str = "tessera") -> DataFrame:
         .select("source", "slot", "before", "slot_size", "rest"),
         "mix-slots",
     )
-    # at most 16**BUCKET_DIGITS rows per source
-    edge = cut.where("before < rest AND before + slot_size >= rest").select(
-        F.col("source").alias("s2"), F.col("slot").alias("edge_slot"), "before", "rest"
-    )
-    spent = (
-        cut.groupBy("source").agg(F.max("rest").alias("rest"))
-        .select(F.col("source").alias("s3"), F.col("rest").alias("rest3"))
-    )
-    marks = durable(
-        spent.join(edge.drop("rest"), F.col("s3").eqNullSafe(F.col("s2")), "left")
-        .select("s3", "edge_slot", "before", F.col("rest3").alias("rest")),
-        "mix-cut",
-    )
-    d = d.join(marks, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
-    inside = F.col("slot") == F.col("edge_slot")
-    exact = durable(
-        d.where(inside).select("doc_id", "source", "size", "odds", "slot", "before", "rest"), "mix-edge"
-    )
-    order = Window.partitionBy("source").orderBy("odds", F.col("doc_id").asc_nulls_last())
-    run = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    edge = F.when((F.col("before") < F.col("rest")) & (F.col("before") + F.col("slot_size") >= F.col("rest")), F.struct("slot", "before"))
+    marks = cut.groupBy("source").agg(F.max("rest").alias("rest"), F.min(edge).alias("e"))
+    marks = durable(marks.select("source", "rest", F.col("e.slot").alias("edge_slot"), F.col("e.before").alias("before")), "mix-marks")
+    own = marks.withColumnRenamed("source", "m_source")
+    inside = d.join(own, F.col("source").eqNullSafe(F.col("m_source")) & (F.col("slot") == F.col("edge_slot")))
+    inside = durable(inside.select("source", "size", "odds", _id().alias("id"), "before", "rest"), "mix-edge")
+    order = Window.partitionBy("source").orderBy("odds", "id").rowsBetween(Window.unboundedPreceding, 0)
+    run, rest = F.col("run"), F.col("rest")
     # the row on which the words run out is taken if that leaves the sum nearer
     last = (
-        exact.withColumn("run", run)
-        .where((F.col("run") <= F.col("rest")) | (F.col("run") - F.col("rest") <= F.col("rest") - (F.col("run") - F.col("size"))))
-        .groupBy("source").agg(F.max(F.struct("odds", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"))).alias("last"))
-        .select(F.col("source").alias("s4"), F.col("last.odds").alias("last_odds"), F.col("last.id").alias("last_id"))
+        inside.withColumn("run", F.col("before") + F.sum("size").over(order))
+        .where((run <= rest) | (run - rest <= rest - (run - F.col("size"))))
+        .groupBy(F.col("source").alias("l_source")).agg(F.max(F.struct("odds", "id")).alias("last"))
     )
-    last = durable(last, "mix-last")
-    d = d.join(last, F.col("source").eqNullSafe(F.col("s4")), "left").drop("s4")
+    out = marks.join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
+    return durable(out.select("source", "rest", "edge_slot", "last"), "mix-cut")
+
+
+def pareto_take(docs: DataFrame, cut: DataFrame, seed: str = "tessera") -> DataFrame:
+    """Adds copies and taken (copies * size) to rows with doc_id, source, size, source_size, target, by pareto_cut().
+
+    Each document is due e = target / source_size copies. floor(e) copies are certain; for the fraction p the document
+    is ranked by Pareto's odds ratio u/(1-u) / (p/(1-p)), u from a seeded MD5 of doc_id, and the smallest ranks are
+    taken until the source's remaining words are nearest to spent. Ties in rank go to the smaller doc_id, null last;
+    rows that repeat an id are taken or left together; a null source is a source; reruns agree. The cut has one row per
+    source and is joined without moving the documents where Spark finds it small enough."""
+    names = docs.columns
+    c = cut.select(F.col("source").alias("c_source"), "rest", "edge_slot", "last")
+    d = _ranked(docs, seed).join(c, F.col("source").eqNullSafe(F.col("c_source")), "left")
     extra = (
         F.when(F.col("p") <= 0, 0)
         .when(F.col("edge_slot").isNull(), F.when(F.col("rest") > 0, 1).otherwise(0))
         .when(F.col("slot") < F.col("edge_slot"), 1)
-        .when(inside & (F.struct("odds", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id")) <= F.struct(F.col("last_odds").alias("odds"), F.col("last_id").alias("id"))), 1)
+        .when((F.col("slot") == F.col("edge_slot")) & (F.struct("odds", _id().alias("id")) <= F.col("last")), 1)
         .otherwise(0)
     )
     d = d.withColumn("copies", (F.col("certain") + F.coalesce(extra, F.lit(0))).cast("long"))
-    d = d.withColumn("taken", F.col("copies") * F.col("size"))
-    return d.drop("u_hex", "certain", "p", "odds", "slot", "edge_slot", "before", "rest", "last_odds", "last_id")
+    return d.select(*names, "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, max_epochs: float = 3.0, cycle: int = 3, seed: str = "tessera") -> DataFrame:
+    """Adds size, source_size, target, copies and taken to rows with doc_id, source and text. Sizes are counted once for
+    the sums; the documents themselves are neither shuffled nor sorted. Columns of those names in docs are replaced."""
+    slim = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    targets = durable(source_targets(slim, 1.0, max_epochs, cycle), "mix-targets")
+    t = targets.withColumnRenamed("source", "t_source")
+
+    def due(df: DataFrame) -> DataFrame:
+        return df.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+
+    cut = pareto_cut(due(slim), seed)
+    plain = docs.drop("size", "source_size", "target", "copies", "taken")
+    return pareto_take(due(plain.withColumn("size", n_words(F.col("text")))), cut, seed)

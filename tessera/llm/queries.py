@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import chat, decontaminate, mixing, neighbours, simhash, substring, suffix, toxicity, urlfilter, warc
-from .common import durable, n_words, table
+from .common import durable, table
 
 RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -86,14 +86,8 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(durable(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
-
-
-def mix(sized: DataFrame) -> DataFrame:
-    targets = durable(mixing.source_targets(sized), "mix-targets").withColumnRenamed("source", "t_source")
-    due = sized.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    return mixing.pareto_take(due)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +143,10 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * CAST(3 AS DOUBLE) AS cap FROM s),
 r AS (SELECT *, cap / weight AS ratio FROM w),
-l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER q, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER q, 0)) AS level
+l AS (SELECT *, row_number() OVER (ORDER BY ratio, source ASC NULLS LAST) AS nth, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER q, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER q, 0)) AS level
   FROM r WINDOW q AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN CAST(0 AS DOUBLE)
-    ELSE least(cap, weight * coalesce(min(CASE WHEN level < ratio THEN level END) OVER (), CAST('inf' AS DOUBLE))) END AS target FROM l),
+    ELSE least(cap, weight * coalesce(first_value(level) OVER (ORDER BY CASE WHEN level < ratio THEN nth END ASC NULLS LAST), CAST('inf' AS DOUBLE))) END AS target FROM l),
 e AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS due,
     (CAST(CAST('0x' || substr(md5('tessera:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / CAST(4503599627370496 AS DOUBLE) AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),

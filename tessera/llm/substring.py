@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import windows as W
-from .common import durable, new_path, remove
+from .common import discard, durable, new_path, remove
 
 #: Words of a window.
 WINDOW = 50
@@ -244,7 +244,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, bat
     found = d.join(grouped, "doc_id").mapInArrow(_verify(window, k), WINDOWS)
     flags = found.repartition("deal").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_compare, FLAGS)
     whole = copies.select("doc_id", "place", F.lit(0).cast("long").alias("length"))
-    return flags.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "length")).alias("flags"))
+    flags = flags.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "length")).alias("flags"))
+    flags = durable(flags, "sub-flags")
+    discard(heads, copies, feed, hot, *shared)
+    return flags
 
 
 def _remove(window: int, keep_text: bool):
@@ -297,7 +300,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, batch
     Removed is each word that a window covers whose words also start in a document with a smaller id. Null texts count
     as empty; rows with a null id or fewer words than a window lose nothing; rows that repeat an id have the same id, not
     a smaller one. No rows give no rows."""
-    flags = durable(repeated_windows(docs, window, k, batches), "sub-flags")
+    flags = repeated_windows(docs, window, k, batches)
     fields = [*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
     if keep_text:
         fields.append(StructField("kept_text", StringType()))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from . import windows as W
-from .common import durable
+from .common import discard, durable
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of context that a task compares among themselves before they are dealt out, and that one suffix array holds.
@@ -422,7 +422,10 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot
     order = ["deal", "h1", "h2", "doc_id", F.col("place").bitwiseAND(F.lit(WHOLE))]
     flags = found.repartition("deal").sortWithinPartitions(*order).mapInArrow(_shards(length, shard), "doc_id long, place long, length long")
     whole = copies.select("doc_id", "place", F.lit(0).cast("long").alias("length"))
-    return flags.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "length")).alias("flags"))
+    flags = flags.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "length")).alias("flags"))
+    flags = durable(flags, "suf-flags")
+    discard(heads, copies, feed, shared)
+    return flags
 
 
 def _cut(length: int, keep: bool):
@@ -475,7 +478,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot:
     Removed is each byte that a string of `length` bytes covers which also starts earlier: in a document with a smaller
     id, or before in the same. Null texts count as empty; rows with a null id, or shorter than `length`, lose nothing;
     rows that repeat an id are told apart by their text but count as the same document. No rows give no rows."""
-    flags = durable(repeated_strings(docs, length, k, hot, shard), "suf-flags")
+    flags = repeated_strings(docs, length, k, hot, shard)
     pair = StructType([StructField("start", LongType()), StructField("end", LongType())])
     fields = [*docs.schema.fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(pair)), StructField("kept_sha256", StringType())]
     if keep:
