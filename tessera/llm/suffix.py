@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -351,18 +352,40 @@ def _runs(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
 def _shards(length: int, shard: int):
     """Rows sorted by deal, h1, h2, doc_id -> flags; contexts gather until a shard is full and its anchor ends."""
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        docs = np.array([r[0] for r in rows], dtype=np.int64)
-        places = np.array([r[1] for r in rows], dtype=np.int64)
-        context, offset, group = repeats_in([r[2] for r in rows], length)
-        doc, place = docs[context], places[context] + offset
-        order = np.lexsort((place & np.int64(WHOLE), doc, group))
-        doc, place, group = doc[order], place[order], group[order]
-        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
-        size = np.diff(np.r_[head, len(group)])
-        d0, p0 = np.repeat(doc[head], size), np.repeat(place[head] & np.int64(WHOLE), size)
-        later = (doc > d0) | ((doc == d0) & (place & np.int64(WHOLE) > p0))
-        return _runs(doc[later], place[later])
+    def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        # equal contexts are settled by comparing them whole; only anchors with different ones need an array
+        first: dict[bytes, tuple[int, int, int]] = {}
+        copies: list[tuple[int, int, int]] = []
+        for deal, doc, place, context in rows:
+            old = first.get(context)
+            if old is None:
+                first[context] = (deal, doc, place)
+            elif (doc, place & WHOLE) < (old[1], old[2] & WHOLE):
+                copies.append((old[1], old[2], len(context)))
+                first[context] = (deal, doc, place)
+            elif (doc, place & WHOLE) != (old[1], old[2] & WHOLE):
+                copies.append((doc, place, len(context)))
+        kinds = Counter(x[0] for x in first.values())
+        left = [(doc, place, context) for context, (deal, doc, place) in first.items() if kinds[deal] > 1]
+        doc_out, place_out = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        if copies:
+            d, p, n = (np.array(x, dtype=np.int64) for x in zip(*copies))
+            n -= length - 1
+            doc_out = np.repeat(d, n)
+            place_out = np.repeat(p, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if left:
+            docs = np.array([r[0] for r in left], dtype=np.int64)
+            places = np.array([r[1] for r in left], dtype=np.int64)
+            context, offset, group = repeats_in([r[2] for r in left], length)
+            doc, place = docs[context], places[context] + offset
+            order = np.lexsort((place & np.int64(WHOLE), doc, group))
+            doc, place, group = doc[order], place[order], group[order]
+            head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
+            size = np.diff(np.r_[head, len(group)])
+            d0, p0 = np.repeat(doc[head], size), np.repeat(place[head] & np.int64(WHOLE), size)
+            later = (doc > d0) | ((doc == d0) & (place & np.int64(WHOLE) > p0))
+            doc_out, place_out = np.r_[doc_out, doc[later]], np.r_[place_out, place[later]]
+        return _runs(doc_out, place_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, last_deal, last = [], 0, None, None
@@ -389,7 +412,7 @@ def _shards(length: int, shard: int):
                     yield solve(rows)
                     rows, held = [], 0
                 last_deal = deal
-                rows.append((doc, place, context))
+                rows.append((deal, doc, place, context))
                 held += len(context)
         if rows:
             yield solve(rows)
@@ -417,14 +440,15 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot
     shared = durable(shared, "suf-shared")
     places = feed.join(shared.hint("shuffle_hash"), "hash").select("doc_id", "place", "hot")
     places = places.unionByName(copies.withColumn("hot", F.lit(False)))
-    grouped = places.groupBy("doc_id").agg(F.collect_list(F.struct("place", "hot")).alias("places"))
+    grouped = durable(places.groupBy("doc_id").agg(F.collect_list(F.struct("place", "hot")).alias("places")), "suf-places")
+    discard(feed, shared)
     found = d.join(grouped, "doc_id").mapInArrow(_contexts(length, k), ROWS)
     order = ["deal", "h1", "h2", "doc_id", F.col("place").bitwiseAND(F.lit(WHOLE))]
     flags = found.repartition("deal").sortWithinPartitions(*order).mapInArrow(_shards(length, shard), "doc_id long, place long, length long")
     whole = copies.select("doc_id", "place", F.lit(0).cast("long").alias("length"))
     flags = flags.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "length")).alias("flags"))
     flags = durable(flags, "suf-flags")
-    discard(heads, copies, feed, shared)
+    discard(heads, copies, grouped)
     return flags
 
 
