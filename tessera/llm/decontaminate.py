@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,97 +51,111 @@ NUM, QTY, NAME, UNIT, CAPITAL, END, EMPTY = 1, 2, 4, 8, 16, 32, 64
 _HOLD = {k: np.uint64(xxhash.xxh64_intdigest(b"\0slot" + bytes([k]))) for k in (NUM, QTY, NAME)}
 
 
+#: Characters that a word is freed of without a pattern; what remains odd goes the slow way.
+_MARKS = ".,;:!?\"'()[]{}|#*&%$€£+-–—«»„“”…_/\\<>=~@^"
+
+
 class _Words(dict):
     """Word -> number of its type; keeps hash, kind and surface of each type."""
 
     def __init__(self):
         super().__init__()
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+        self.hashes = array("Q")
+        self.kinds = array("B")
         self.surface: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        bare = _STRIP.sub("", word)
-        low = bare.lower()
+    def __missing__(self, key: bytes) -> int:
+        word = key.decode()
+        bare = word.strip(_MARKS)
         kind = 0
-        quantity = _QUANTITY.fullmatch(low)
-        if not low.strip("$€£+-_%"):
-            kind |= EMPTY
-        elif quantity and (quantity[1] is None or quantity[1] in UNITS):
-            kind |= QTY
-        elif _NUMBER.fullmatch(low) or low in NUMBER_WORDS:
-            kind |= NUM
-        elif low in NAMES and bare[0].isupper():
-            kind |= NAME
-        elif bare[0].isupper():
-            kind |= CAPITAL
+        if bare.isalpha():
+            low = bare.lower()
+            first = bare[0]
+            if low in NUMBER_WORDS:
+                kind |= NUM
+            elif first != low[0]:
+                kind |= NAME if low in NAMES else CAPITAL
+        else:
+            bare = _STRIP.sub("", word)
+            low = bare.lower()
+            quantity = _QUANTITY.fullmatch(low)
+            if not low.strip("$€£+-_%"):
+                kind |= EMPTY
+            elif quantity and (quantity[1] is None or quantity[1] in UNITS):
+                kind |= QTY
+            elif _NUMBER.fullmatch(low):
+                kind |= NUM
+            elif bare[0].isupper():
+                kind |= CAPITAL
         if low in UNITS:
             kind |= UNIT
-        if word.rstrip("\"')]»”").endswith((".", "!", "?", ":", ";")):
+        if word[-1] in _LAST and word.rstrip("\"')]»”").endswith((".", "!", "?", ":", ";")):
             kind |= END
-        at = self[word] = len(self.kinds)
+        at = self[key] = len(self.kinds)
         self.hashes.append(xxhash.xxh64_intdigest(low.encode()))
         self.kinds.append(kind)
         self.surface.append(low)
         return at
 
 
+_LAST = frozenset(".!?:;\"')]»”")
+
+
+def _before(x: np.ndarray, first) -> np.ndarray:
+    """x moved on by one place."""
+    out = np.empty_like(x)
+    out[:1] = first
+    out[1:] = x[:-1]
+    return out
+
+
 class Canonical:
     """Turns texts into template tokens; remembers word types."""
 
     def __init__(self):
         self.words = _Words()
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
-        """(token hashes, place of each token's word, words, surfaces by token; '' unless it is a placeholder)."""
+    def tokens(self, text: bytes) -> tuple[np.ndarray, list[str]]:
+        """Hashes of the template tokens and their surfaces: '' unless it is a placeholder, [] if none is."""
         if len(self.words) > CACHE:
             self.words = _Words()
         w = self.words
-        # the word rule is bytes.split()'s; these are the same blanks
-        words = re.split(r"[\x20\x09-\x0D]+", text)
-        words = [x for x in words if x]
+        words = text.split()
         ids = np.fromiter(map(w.__getitem__, words), dtype=np.int64, count=len(words))
-        kinds = np.array(w.kinds, dtype=np.uint8) if len(ids) * 4 > len(w.kinds) else None
-        if kinds is not None:
-            kind, hashes = kinds[ids], np.array(w.hashes, dtype=np.uint64)[ids]
-        else:
-            kind = np.fromiter((w.kinds[i] for i in ids), dtype=np.uint8, count=len(ids))
-            hashes = np.fromiter((w.hashes[i] for i in ids), dtype=np.uint64, count=len(ids))
-        has = kind & EMPTY == 0
-        place = np.flatnonzero(has)
-        # an emptied word can still end a sentence
-        ends = np.cumsum(kind & END != 0)
-        before = np.r_[0, ends][place]
-        opens = np.r_[True, before[1:] > before[:-1]] if len(place) else np.zeros(0, dtype=bool)
-        kind, hashes, ids = kind[has], hashes[has], ids[has]
+        kind, hashes = np.frombuffer(w.kinds, dtype=np.uint8)[ids], np.frombuffer(w.hashes, dtype=np.uint64)[ids]
+        end = kind & END != 0
+        opens = _before(end, True)
+        empty = kind & EMPTY != 0
+        if empty.any():
+            # a word that is nothing but marks can still end a sentence
+            has = np.flatnonzero(~empty)
+            ends = _before(np.cumsum(end), 0)[has]
+            opens = ends != _before(ends, -1)
+            kind, hashes, ids = kind[has], hashes[has], ids[has]
+        if not (kind & (NUM | QTY | NAME)).any() and not ((kind & CAPITAL != 0) & ~opens).any():
+            return hashes, []
         number = kind & NUM != 0
         name = (kind & NAME != 0) | ((kind & CAPITAL != 0) & ~opens)
-        unit = (kind & UNIT != 0) & np.r_[False, number[:-1]] if len(number) else number
-        quantity = (kind & QTY != 0) | (number & np.r_[unit[1:], False] if len(number) else number)
+        unit = (kind & UNIT != 0) & _before(number, False)
+        quantity = (kind & QTY != 0) | (number & _before(unit[::-1], False)[::-1])
         slot = np.where(quantity, QTY, np.where(number, NUM, np.where(name & ~unit, NAME, 0)))
-        follows = (slot == NAME) & np.r_[False, slot[:-1] == NAME] if len(slot) else slot > 0
+        follows = (slot == NAME) & (_before(slot, 0) == NAME)
         keep = ~unit & ~follows
         tokens = hashes.copy()
         for k, h in _HOLD.items():
             tokens[slot == k] = h
-        surfaces = []
-        if slot.any():
-            values = ["" if not s else w.surface[i] for s, i in zip(slot.tolist(), ids.tolist())]
-            for i in np.flatnonzero(unit | follows).tolist():  # joined to the token before
-                values[i - 1 if unit[i] else i] += " " + w.surface[ids[i]] if unit[i] else ""
-            # the further words of a name belong to its first
-            first = -1
-            for i in np.flatnonzero(slot == NAME).tolist():
-                if follows[i]:
-                    values[first] += " " + values[i]
-                else:
-                    first = i
-            surfaces = [v for v, k in zip(values, keep.tolist()) if k]
-        return tokens[keep], place[keep], words, surfaces
-
-    def windows(self, text: str) -> tuple[np.ndarray, list[str]]:
+        # units and further words of a name are part of the value of the token before
+        values: list[str] = []
+        for s, u, f, i in zip(slot.tolist(), unit.tolist(), follows.tolist(), ids.tolist()):
+            if u or f:
+                values[-1] += " " + w.surface[i]
+            else:
+                values.append(w.surface[i] if s else "")
+        return tokens[keep], values
+
+    def windows(self, text: bytes) -> tuple[np.ndarray, list[str]]:
         """Hash of every WIDTH consecutive tokens, and the tokens' surfaces (empty list: no placeholder)."""
-        tokens, _, _, surfaces = self.tokens(text)
+        tokens, surfaces = self.tokens(text)
         return W.mix(W.grams(tokens, WIDTH, W.BASE_A)), surfaces
 
 
@@ -158,7 +173,8 @@ def _template_windows(id_name: str, thin):
         canonical = Canonical()
         for batch in batches:
             hashes, ids, tags, places, slots = [], [], [], [], []
-            for key, text in zip(batch[id_name].to_pylist(), batch["text"].to_pylist()):
+            for key, text in zip(batch[id_name].to_pylist(), batch["text"].cast(pa.binary())):
+                text = text.as_py()
                 if key is None or not text:
                     continue
                 h, surfaces = canonical.windows(text)
@@ -170,7 +186,7 @@ def _template_windows(id_name: str, thin):
                     continue
                 hashes.append(h[at].view(np.int64))
                 ids.append(np.full(len(at), key, dtype=np.int64))
-                tags.append(np.full(len(at), zlib.crc32(text.encode()), dtype=np.int64))
+                tags.append(np.full(len(at), zlib.crc32(text), dtype=np.int64))
                 places.append(at.astype(np.int32))
                 slots += [[s for s in surfaces[i : i + WIDTH] if s] for i in at.tolist()]
             if hashes:
