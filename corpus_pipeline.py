@@ -8,14 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontaminate, mixing, simhash, substring, toxicity
-from tessera.llm.common import durable, table
+from tessera.llm.common import durable, fresh, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score 0.5 or more; labels of held-out rows are not learned from."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model, "toxicity_score").where("toxicity_score < 0.5").select(*docs.columns)
+    name = fresh("toxicity_score", docs.columns)
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +26,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of 50-word windows that an earlier document has."""
-    out = substring.remove_repeats(docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long")}
-    return out.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
+    # other columns travel under names that can't clash with those of the operator
+    rest = {c: f"_{i}" for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}
+    out = substring.remove_repeats(docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in rest.items())))
+    cut = F.col("n_removed") > 0
+    back = {c: F.col(n) for c, n in rest.items()} | {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in rest:
+        back["n_chars"] = F.when(cut, F.length("kept_text")).otherwise(F.col(rest["n_chars"])).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(back[c].alias(c) for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,14 @@ def discard(*frames: DataFrame) -> None:
         remove(df.sparkSession, df._durable_path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text as a long; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

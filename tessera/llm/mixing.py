@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import durable, n_words
+from .common import durable, fresh, n_words
 
 #: Hex digits of the MD5 that make the uniform number; 13 digits are 52 bits, exact in a double.
 DIGITS = 13
@@ -105,9 +105,10 @@ def pareto_take(docs: DataFrame, cut: DataFrame, seed: str = "tessera") -> DataF
     taken until the source's remaining words are nearest to spent. Ties in rank go to the smaller doc_id, null last;
     rows that repeat an id are taken or left together; a null source is a source; reruns agree. The cut has one row per
     source and is joined without moving the documents where Spark finds it small enough."""
-    names = docs.columns
     c = cut.select(F.col("source").alias("c_source"), "rest", "edge_slot", "last")
-    d = _ranked(docs, seed).join(c, F.col("source").eqNullSafe(F.col("c_source")), "left")
+    # the rows ride along whole, so that no column of theirs clashes with those of the ranks
+    d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "size", "source_size", "target")
+    d = _ranked(d, seed).join(c, F.col("source").eqNullSafe(F.col("c_source")), "left")
     extra = (
         F.when(F.col("p") <= 0, 0)
         .when(F.col("edge_slot").isNull(), F.when(F.col("rest") > 0, 1).otherwise(0))
@@ -116,7 +117,7 @@ def pareto_take(docs: DataFrame, cut: DataFrame, seed: str = "tessera") -> DataF
         .otherwise(0)
     )
     d = d.withColumn("copies", (F.col("certain") + F.coalesce(extra, F.lit(0))).cast("long"))
-    return d.select(*names, "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.select("row.*", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, max_epochs: float = 3.0, cycle: int = 3, seed: str = "tessera") -> DataFrame:
@@ -124,11 +125,12 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, cycle: int = 3, seed: str = "t
     the sums; the documents themselves are neither shuffled nor sorted. Columns of those names in docs are replaced."""
     slim = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     targets = durable(source_targets(slim, 1.0, max_epochs, cycle), "mix-targets")
-    t = targets.withColumnRenamed("source", "t_source")
+    plain = docs.drop("size", "source_size", "target", "copies", "taken")
+    key = fresh("t_source", plain.columns)
+    t = targets.withColumnRenamed("source", key)
 
     def due(df: DataFrame) -> DataFrame:
-        return df.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+        return df.join(t, F.col("source").eqNullSafe(F.col(key))).drop(key)
 
     cut = pareto_cut(due(slim), seed)
-    plain = docs.drop("size", "source_size", "target", "copies", "taken")
     return pareto_take(due(plain.withColumn("size", n_words(F.col("text")))), cut, seed)

@@ -299,7 +299,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, batch
 
     Removed is each word that a window covers whose words also start in a document with a smaller id. Null texts count
     as empty; rows with a null id or fewer words than a window lose nothing; rows that repeat an id have the same id, not
-    a smaller one. No rows give no rows."""
+    a smaller one. No rows give no rows. Columns of docs with a name of the results, or named flags, are replaced or left out."""
+    docs = docs.drop("flags", "n_words", "n_removed", "kept_sha256", "kept_text")
     flags = repeated_windows(docs, window, k, batches)
     fields = [*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
     if keep_text:

@@ -501,7 +501,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot:
 
     Removed is each byte that a string of `length` bytes covers which also starts earlier: in a document with a smaller
     id, or before in the same. Null texts count as empty; rows with a null id, or shorter than `length`, lose nothing;
-    rows that repeat an id are told apart by their text but count as the same document. No rows give no rows."""
+    rows that repeat an id are told apart by their text but count as the same document. No rows give no rows. Columns of
+    docs with a name of the results, or named flags, are replaced or left out."""
+    docs = docs.drop("flags", "n_bytes", "spans", "kept_sha256", "kept")
     flags = repeated_strings(docs, length, k, hot, shard)
     pair = StructType([StructField("start", LongType()), StructField("end", LongType())])
     fields = [*docs.schema.fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(pair)), StructField("kept_sha256", StringType())]

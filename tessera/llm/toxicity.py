@@ -233,7 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
-    """Adds to each row the toxicity of its whole text, 0 to 1; null and empty texts get the score of no words."""
+    """Adds to each row, as column name (replaced if docs has it), the toxicity of its whole text, 0 to 1; null and empty
+    texts get the score of no words."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words weights and the identity terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
