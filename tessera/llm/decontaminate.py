@@ -181,7 +181,8 @@ def _template_windows(id_name: str, thin):
                 at = np.arange(len(h))
                 if known is not None:
                     at = np.flatnonzero(bitmap[h & low])
-                    at = at[np.isin(h[at], known)]
+                    if len(at):
+                        at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
                 if not len(at):
                     continue
                 hashes.append(h[at].view(np.int64))
