@@ -52,22 +52,37 @@ def _clean() -> None:
                 shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+#: Arrow batches of texts stay small: several copies of one are alive at a time, outside the heap and in Python.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session that hold inside the block; a setting that Spark refuses is left as it is."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        with contextlib.suppress(Exception):
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            with contextlib.suppress(Exception):
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def durable(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
 
     The shuffle files behind it are of no more use, so Spark may drop them as soon as the write ends."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
+    with settings(spark, WHILE_WRITING):
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out

@@ -15,6 +15,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -134,8 +135,8 @@ class FingerprintLog:
 
 
 def _verify(window: int, k: int):
-    """(doc_id, text, places) -> rows for the exact comparison: windows (h1, h2, doc_id, place), and what the task knows
-    already as runs (doc_id, place, length) with h1 null."""
+    """(doc_id, text, places) -> rows for the exact comparison: windows (h1, h2, doc_id, places), and what the task knows
+    already as runs (doc_id, first place, length) with h1 null."""
 
     def settle(parts: list) -> Iterator[pa.RecordBatch]:
         h1, h2, doc, place = (np.concatenate(x) for x in zip(*parts))
@@ -144,7 +145,8 @@ def _verify(window: int, k: int):
         head = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         least = np.repeat(doc[head], np.diff(np.r_[head, len(doc)]))
         known = doc > least
-        # a copy of a window of a smaller document in this task is settled here; only the smallest's are dealt out
+        # a copy of a window of a smaller document in this task is settled here; only the smallest's are dealt out, as
+        # one row for each hash however often the document repeats it
         d, p = doc[known], place[known]
         o = np.lexsort((p, d))
         d, p = d[o], p[o]
@@ -152,11 +154,13 @@ def _verify(window: int, k: int):
             cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)])
             size = np.diff(np.r_[cut, len(d)])
             none = pa.nulls(len(cut), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(d[cut]), none, none, pa.array(d[cut]), pa.array(p[cut]), pa.array(size)], NAMES)
-        rest = ~known
-        key = h1[rest].view(np.int64)
+            single = _lists(p[cut], np.arange(len(cut)))
+            yield pa.RecordBatch.from_arrays([pa.array(d[cut]), none, none, pa.array(d[cut]), single, pa.array(size)], NAMES)
+        h1, h2, doc, place = (x[~known] for x in (h1, h2, doc, place))
+        head = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        key = pa.array(h1[head].view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(key), pa.array(h2[rest].view(np.int64)), pa.array(doc[rest]), pa.array(place[rest]), pa.array(np.ones(len(key), dtype=np.int64))], NAMES
+            [key, key, pa.array(h2[head].view(np.int64)), pa.array(doc[head]), _lists(place, head), pa.array(np.ones(len(head), dtype=np.int64))], NAMES
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,31 +188,37 @@ def _verify(window: int, k: int):
     return run
 
 
-NAMES = ["deal", "h1", "h2", "doc_id", "place", "length"]
-WINDOWS = ", ".join(f"{n} long" for n in NAMES)
+NAMES = ["deal", "h1", "h2", "doc_id", "places", "length"]
+WINDOWS = "deal long, h1 long, h2 long, doc_id long, places array<long>, length long"
 FLAGS = "doc_id long, place long, length long"
 
 
+def _lists(values: np.ndarray, heads: np.ndarray) -> pa.ListArray:
+    """Values as lists that start at the heads."""
+    return pa.ListArray.from_arrays(pa.array(np.append(heads, len(values)).astype(np.int32)), pa.array(values))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h1, h2, doc_id: passes runs on, and windows whose hash a smaller document has."""
+    """Rows sorted by h1, h2, doc_id: passes runs on, and the windows whose hash a smaller document has."""
     last = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        h1, h2, doc, place, length = (batch[n].to_numpy(zero_copy_only=False) for n in NAMES[1:])
         settled = batch["h1"].is_null().to_numpy(zero_copy_only=False)
-        if settled.any():
-            yield pa.RecordBatch.from_arrays([batch[n].filter(pa.array(settled)) for n in NAMES[3:]], NAMES[3:])
-        h1, h2, doc, place, length = (pa.array(x[~settled]).cast(pa.int64()).to_numpy() for x in (h1, h2, doc, place, length))
-        if not len(h1):
-            continue
-        head = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        least = doc[head].copy()
-        if last and last[:2] == (h1[0], h2[0]):
-            least[0] = last[2]
-        last = (h1[-1], h2[-1], least[-1])
-        again = doc > np.repeat(least, np.diff(np.r_[head, len(doc)]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[again]) for x in (doc, place, length)], NAMES[3:])
+        flagged = settled.copy()
+        rows = np.flatnonzero(~settled)
+        if len(rows):
+            h1, h2, doc = (pa.array(batch[n]).take(pa.array(rows)).to_numpy(zero_copy_only=False) for n in ("h1", "h2", "doc_id"))
+            head = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            least = doc[head].copy()
+            if last and last[:2] == (h1[0], h2[0]):
+                least[0] = last[2]
+            last = (h1[-1], h2[-1], least[-1])
+            flagged[rows] = doc > np.repeat(least, np.diff(np.r_[head, len(doc)]))
+        out = batch.filter(pa.array(flagged))
+        if out.num_rows:
+            n = pc.list_value_length(out["places"]).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(out["doc_id"].to_numpy(), n)), out["places"].flatten(), pa.array(np.repeat(out["length"].to_numpy(), n))], ["doc_id", "place", "length"]
+            )
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, batches: int = 3) -> DataFrame:
