@@ -66,6 +66,34 @@ def gram(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(a, b).mapInArrow(run, "i int, j int, val double").groupBy("i", "j").agg(F.sum("val").alias("val"))
 
 
+def gram_sums(rows: DataFrame, inputs: list[str], pairs: Callable[..., dict[int, tuple[np.ndarray, np.ndarray]]]) -> dict[int, np.ndarray]:
+    """Sums A' B over all rows for several pairs of matrices at once, each made by pairs() from the input columns of a
+    block. Every task sends one small matrix a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                for k, (a, b) in pairs(*(to_matrix(batch[c]) for c in inputs)).items():
+                    total[k] = total[k] + a.T @ b if k in total else a.T @ b
+        if total:
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int32()), pa.array([total[k].shape[1] for k in keys], pa.int32()), pa.array([total[k].ravel() for k in keys], pa.list_(pa.float64()))], ["k", "cols", "m"]
+            )
+
+    parts = rows.select(*inputs).mapInArrow(run, "k int, cols int, m array<double>")
+    flat = parts.select("k", "cols", F.posexplode("m").alias("at", "v")).groupBy("k", "cols", "at").agg(F.sum("v").alias("v"))
+    out: dict[int, np.ndarray] = {}
+    got: dict[int, list] = {}
+    for r in flat.collect():  # as many rows as the parameters have elements
+        got.setdefault(r["k"], []).append((r["at"], r["v"], r["cols"]))
+    for k, entries in got.items():
+        entries.sort()
+        out[k] = np.array([v for _, v, _ in entries]).reshape(-1, entries[0][2])
+    return out
+
+
 def collect_matrix(entries: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """(i, j, val) of a parameter-sized matrix to the driver."""
     out = np.zeros(shape)

@@ -94,26 +94,31 @@ class GcnTrainer:
             df.unpersist()
 
     def forward(self, w: list[np.ndarray]) -> tuple[DataFrame, list[DataFrame]]:
-        """(logits (vid, z), state by layer): layer k's state has vid, what its product saw (inp) and z."""
-        state: list[DataFrame] = []
-        x = self.first.select("vid", F.col("feat").alias("inp"))
+        """(logits (vid, z), frames): frame k has layer k's activation h, what its product saw (inp, unless that is the
+        h before) and, if the next layer is multiplied first, the rows q that it gathers. One Python stage a layer."""
+        frames: list[DataFrame] = []
+        rows = self.first.select("vid", F.col("feat").alias("inp"))
         for k, layer in enumerate(self.plan):
+            if k:
+                seen = frames[-1].select("vid", F.col("q" if layer.multiply_first else "h").alias("feat"))
+                width = layer.width_out if layer.multiply_first else layer.width_in
+                rows = gather(self.edges, seen, self.own, width=width).withColumnRenamed("feat", "z" if layer.multiply_first else "inp")
             last = k + 1 == len(self.plan)
-            if layer.multiply_first:
-                q = dense.matmul(x.select("vid", F.col("inp").alias("feat")), w[k])
-                z = gather(self.edges, q, self.own, width=layer.width_out).withColumnRenamed("feat", "z")
-                rows = x.join(z, "vid")
-            else:
-                rows = dense.map_rows(x, lambda a, w=w[k]: {"z": a @ w}, ["inp"], ["z"], ["vid", "inp"])
-            state.append(self._hold(rows))
-            if not last:
-                h = dense.map_rows(rows, lambda z: {"h": np.tanh(z)}, ["z"], ["h"], ["vid"])
-                nxt = self.plan[k + 1]
-                if nxt.multiply_first:
-                    x = h.withColumnRenamed("h", "inp")
-                else:
-                    x = gather(self.edges, h.withColumnRenamed("h", "feat"), self.own, width=nxt.width_in).withColumnRenamed("feat", "inp")
-        return state[-1].select("vid", "z"), state
+            w_next = None if last or not self.plan[k + 1].multiply_first else w[k + 1]
+
+            def step(x, w=None if layer.multiply_first else w[k], w_next=w_next, last=last):
+                z = x if w is None else x @ w
+                if last:
+                    return {"z": z}
+                h = np.tanh(z)
+                return {"h": h} if w_next is None else {"h": h, "q": h @ w_next}
+
+            if last and layer.multiply_first:
+                return rows.select("vid", "z"), frames
+            given = "z" if layer.multiply_first else "inp"
+            made = ["z"] if last else ["h"] + ["q"] * (w_next is not None)
+            frames.append(self._hold(dense.map_rows(rows, step, [given], made, ["vid"] + ["inp"] * (not layer.multiply_first))))
+        return frames[-1].select("vid", "z"), frames
 
     def output(self, logits: DataFrame) -> DataFrame:
         """vid, label, split, p, d: probabilities and the averaged, masked error."""
@@ -128,32 +133,51 @@ class GcnTrainer:
 
         return dense.map_rows(rows, step, ["z", "label", "train"], ["p", "d"], ["vid", "label", "split"])
 
-    def gradients(self, w: list[np.ndarray], state: list[DataFrame], out: DataFrame) -> list[np.ndarray]:
-        """Gradient of every layer's matrix; each is one small sum of block products."""
+    def gradients(self, w: list[np.ndarray], frames: list[DataFrame], out: DataFrame) -> list[np.ndarray]:
+        """Gradient of every layer's matrix, as small sums of block products. The lowest two layers share one pass: what
+        the first one needs is in the rows that the second one reads."""
         grads: list[np.ndarray] = [None] * len(w)
         g = out.select("vid", F.col("d").alias("g"))
-        for k in range(len(w) - 1, -1, -1):
-            layer = self.plan[k]
+        for k in range(len(w) - 1, 0, -1):
+            layer, below = self.plan[k], frames[k - 1]
             if layer.multiply_first:
                 u = gather(self.edges_back, g.withColumnRenamed("g", "feat"), self.own, backward=True, width=layer.width_out)
-                rows = state[k].select("vid", "inp").join(u.withColumnRenamed("feat", "g"), "vid")
+                u = u.withColumnRenamed("feat", "u")
             else:
-                rows = state[k].select("vid", "inp").join(g, "vid")
-            rows = self._hold(rows) if k else rows
-            grads[k] = dense.collect_matrix(dense.gram(rows, "inp", "g"), w[k].shape)
-            if k:
-                back = dense.map_rows(rows, lambda a, w=w[k]: {"feat": a @ w.T}, ["g"], ["feat"], ["vid"])
-                if not layer.multiply_first:
-                    back = gather(self.edges_back, back, self.own, backward=True, width=layer.width_in)
-                rows = back.join(state[k - 1].select("vid", "z"), "vid")
-                g = dense.map_rows(rows, lambda a, z: {"g": a * (1 - np.tanh(z) ** 2)}, ["feat", "z"], ["g"], ["vid"])
-        return grads
+                rows = self._hold(frames[k].select("vid", "inp").join(g, "vid"))
+                grads[k] = dense.gram_sums(rows, ["inp", "g"], lambda inp, g: {0: (inp, g)})[0]
+                back = dense.map_rows(rows, lambda g, w=w[k]: {"feat": g @ w.T}, ["g"], ["feat"], ["vid"])
+                u = gather(self.edges_back, back, self.own, backward=True, width=layer.width_in).withColumnRenamed("feat", "u")
+            m = w[k] if layer.multiply_first else None
+
+            def lower(u, h, m=m):
+                return (u if m is None else u @ m.T) * (1 - h * h)
+
+            seen = ["vid", "h"] + ["inp"] * (k == 1)
+            rows = below.select(*seen).join(u, "vid")
+            if k == 1:
+                both = layer.multiply_first
+
+                def pairs(u, h, inp, lower=lower, both=both):
+                    return {0: (inp, lower(u, h))} | ({1: (h, u)} if both else {})
+
+                for i, x in dense.gram_sums(rows, ["u", "h", "inp"], pairs).items():
+                    grads[i] = x
+            else:
+                rows = self._hold(rows)
+                if layer.multiply_first:
+                    grads[k] = dense.gram_sums(rows, ["h", "u"], lambda h, u: {0: (h, u)})[0]
+                g = dense.map_rows(rows, lambda u, h, lower=lower: {"g": lower(u, h)}, ["u", "h"], ["g"], ["vid"])
+        if len(w) == 1:
+            rows = frames[0].select("vid", "inp").join(g, "vid")
+            grads[0] = dense.gram_sums(rows, ["inp", "g"], lambda inp, g: {0: (inp, g)})[0]
+        return [x if x is not None else np.zeros_like(m) for x, m in zip(grads, w)]
 
     def epoch(self, w: list[np.ndarray]) -> tuple[list[np.ndarray], dict]:
-        logits, state = self.forward(w)
+        logits, frames = self.forward(w)
         out = self._hold(self.output(logits))
         m = evaluate.evaluation(evaluate.score_rows(out)).first()
-        grads = self.gradients(w, state, out)
+        grads = self.gradients(w, frames, out)
         self.release()
         return grads, {"n": m["n"], "acc": m["acc"], "loss": m["loss"]}
 
