@@ -19,6 +19,11 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def _given(column: pa.Array) -> np.ndarray:
+    """Array columns as matrices, others as vectors."""
+    return to_matrix(column) if pa.types.is_list(column.type) else column.to_numpy(zero_copy_only=False)
+
+
 def to_column(m: np.ndarray) -> pa.Array:
     n, d = m.shape
     flat = pa.array(np.ascontiguousarray(m, dtype=np.float64).ravel())
@@ -31,8 +36,7 @@ def map_rows(df: DataFrame, fn: Callable[..., dict[str, np.ndarray]], inputs: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                given = [to_matrix(batch[c]) if pa.types.is_list(batch[c].type) else batch[c].to_numpy(zero_copy_only=False) for c in inputs]
-                got = fn(*given)
+                got = fn(*(_given(batch[c]) for c in inputs))
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(to_column(got[c]) for c in outputs)], [*keep, *outputs])
 
     fields = [df.schema[c] for c in keep] + [StructField(c, VECTOR) for c in outputs]
@@ -74,7 +78,7 @@ def gram_sums(rows: DataFrame, inputs: list[str], pairs: Callable[..., dict[int,
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
-                for k, (a, b) in pairs(*(to_matrix(batch[c]) for c in inputs)).items():
+                for k, (a, b) in pairs(*(_given(batch[c]) for c in inputs)).items():
                     total[k] = total[k] + a.T @ b if k in total else a.T @ b
         if total:
             keys = list(total)

@@ -10,8 +10,9 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrays import LEAKY_SLOPE
 from ..operators import dense, evaluate, layers
-from ..operators.construct import cluster, normalize
+from ..operators.construct import cluster, in_degree, normalize
 from ..operators.gather import gather
 from ..operators.parameters import Adam, Convergence, State, gat_parameters, gcn_parameters
 from .graph import Graph
@@ -205,45 +206,94 @@ class GcnTrainer:
         return run
 
 
+def _attention(share: bool) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Attention value of each vertex from its score and in-degree; with share (neighbour softmax) the equal scores of a
+    destination share evenly."""
+
+    def value(az, deg):
+        return (1 / np.maximum(deg, 1))[:, None] if share else np.where(az > 0, az, az * LEAKY_SLOPE)
+
+    return value
+
+
 class GatTrainer:
     """Full-graph training of the attention model: destination-only leaky scores, no activation between layers, the
-    prediction step taken on the gathered rows of the last layer over all vertices."""
+    prediction step taken on the gathered rows of the last layer over all vertices.
+
+    A score depends on the destination alone, so it leaves the sum: sum of a_e z[src] = a[v] times the plain sum of
+    z[src]. That plain sum is gathered once a layer and serves the forward rows and the score gradients; going back, rows
+    are multiplied by their own a before they are gathered. A layer costs two unweighted gathers and one pass of block
+    products."""
 
     def __init__(self, graph: Graph, options: Options):
         self.graph, self.options = graph, options
-        self.edges = cluster(graph.edges, "src").persist(_LEVEL)
+        edges = graph.edges.select("src", "dst")
+        self.edges = cluster(edges, "src").persist(_LEVEL)
+        self.edges_back = cluster(self.edges, "dst").persist(_LEVEL)
         self.labels = split_labels(graph, options.chunks).persist(_LEVEL)
+        degrees = in_degree(graph.vertices, edges)
+        self.first = graph.features().join(degrees, "vid").select("vid", F.col("feat").alias("h"), F.col("deg").cast("double").alias("deg")).persist(_LEVEL)
 
     def close(self) -> None:
-        self.edges.unpersist()
-        self.labels.unpersist()
+        for df in (self.edges, self.edges_back, self.labels, self.first):
+            df.unpersist()
+
+    @staticmethod
+    def _summed(edges: DataFrame, rows: DataFrame, width: int, name: str, onto: DataFrame, backward: bool = False) -> DataFrame:
+        """onto with the plain sum of its neighbours' rows; zeros without neighbours."""
+        s = gather(edges, rows, None, None, backward=backward, width=width).withColumnRenamed("feat", "_s")
+        zero = F.array(*(F.lit(0.0) for _ in range(width)))
+        return onto.join(s, "vid", "left").withColumn(name, F.coalesce("_s", zero)).drop("_s")
 
     def epoch(self, p: list[dict[str, np.ndarray]]) -> tuple[list[dict[str, np.ndarray]], dict]:
-        sizes, held = self.options.sizes, []
+        sizes, held, attention = self.options.sizes, [], _attention(self.options.neighbour_softmax)
 
         def hold(df):
             held.append(df.persist(_LEVEL))
             return df
 
-        h, state = self.graph.features(), []
+        def product(h, q):
+            z = h @ q["w"]
+            return {"h": h, "z": z, "az": z @ q["a_i"][:, None]}
+
+        frames: list[DataFrame] = []
         for k, q in enumerate(p):
-            z = hold(dense.matmul(h, q["w"]))
-            scored, ah = layers.gat_forward(self.edges, z, q["a_i"], sizes[k + 1], self.options.neighbour_softmax)
-            state.append((h, z, scored))
-            h = hold(ah)
-        got = hold(layers.gat_predict(h, self.labels, sizes[-1]))
-        m = evaluate.evaluation(evaluate.score_rows(got.join(self.labels.select("vid", "split"), "vid"))).first()
-        grad, grads = got.select("vid", "feat"), [None] * len(p)
+            if k == 0:
+                rows = dense.map_rows(self.first, lambda h, q=q: product(h, q), ["h"], ["h", "z", "az"], ["vid", "deg"])
+            else:
+                up = lambda z, az, s, deg, q=q: product(z + attention(az, deg) * s, q)
+                rows = dense.map_rows(frames[-1], up, ["z", "az", "s", "deg"], ["h", "z", "az"], ["vid", "deg"])
+            rows = hold(rows)
+            frames.append(hold(self._summed(self.edges, rows.select("vid", F.col("z").alias("feat")), sizes[k + 1], "s", rows)))
+
+        def predict(z, az, s, deg, label):
+            probability = layers._softmax(z + attention(az, deg) * s)
+            d = probability.copy()
+            d[np.arange(len(d)), label.astype(np.int64)] -= 1
+            return {"p": probability, "g": d}
+
+        last = frames[-1].select("vid", "z", "az", "s", "deg").join(self.labels, "vid")
+        out = hold(dense.map_rows(last, predict, ["z", "az", "s", "deg", "label"], ["p", "g"], ["vid", "label", "split"]))
+        m = evaluate.evaluation(evaluate.score_rows(out)).first()
+        g, grads = out.select("vid", "g"), [None] * len(p)
         for k in range(len(p) - 1, -1, -1):
-            h, z, scored = state[k]
-            width = sizes[k + 1]
-            da = layers.gat_attention_gradient(scored, grad, z, width)
-            d_scores = layers.gat_edge_backward(scored, grad, p[k]["a_i"])
-            atg = hold(layers.gat_backward(scored, d_scores, grad, z, width))
-            rows = h.join(atg.withColumnRenamed("feat", "g"), "vid")
-            grads[k] = {"w": dense.collect_matrix(dense.gram(rows, "feat", "g"), p[k]["w"].shape), "a_i": da}
+            a_i, w = p[k]["a_i"], p[k]["w"]
+            rows = hold(frames[k].join(g, "vid"))
+            own = dense.map_rows(rows, lambda az, deg, g: {"feat": attention(az, deg) * g}, ["az", "deg", "g"], ["feat"], ["vid"])
+            rows = self._summed(self.edges_back, own, sizes[k + 1], "b", rows, backward=True)
+
+            def into(az, s, g, b, a_i=a_i):
+                return g + b + np.where(az > 0, 1.0, LEAKY_SLOPE) * (g @ a_i)[:, None] * s
+
+            def pairs(h, z, az, s, deg, g, b, into=into):
+                return {0: (h, into(az, s, g, b)), 1: (z, z), 2: (deg[:, None] * np.where(az > 0, 1.0, LEAKY_SLOPE), g)}
+
+            if k:
+                rows = hold(rows)
+            got = dense.gram_sums(rows, ["h", "z", "az", "s", "deg", "g", "b"], pairs)
+            grads[k] = {"w": got[0], "a_i": got[1] @ got[2][0]}
             if k:
-                grad = dense.matmul(atg, p[k]["w"], transpose_w=True)
+                g = dense.map_rows(rows, lambda az, s, g, b, into=into, w=w: {"g": into(az, s, g, b) @ w.T}, ["az", "s", "g", "b"], ["g"], ["vid"])
         for df in held:
             df.unpersist()
         return grads, {"n": m["n"], "acc": m["acc"], "loss": m["loss"]}
