@@ -15,6 +15,7 @@ from ..operators.gather import (
 from ..operators.parameters import gcn_parameters, kaiming, xavier
 from ..session import scratch_path
 from ..sources import binary, cache, generate, text
+from . import sage
 from .graph import Graph, bipartite_edges, graph_from_tables, n_vertices, raw_edges, read_table
 from .trainer import GatTrainer, GcnTrainer, Options
 
@@ -91,8 +92,11 @@ _CTE = {
     "gav": "SELECT gg.vid, sum(gg.val * av.val) AS ga FROM gg JOIN av ON av.i = gg.i GROUP BY gg.vid",
     "gda": "SELECT sc.src, sc.dst, sc.da * gav.ga AS da FROM sc JOIN gav ON gav.vid = sc.dst",
     "gatg": "SELECT vid, i, sum(val) AS val FROM (SELECT vid, i, val FROM gg UNION ALL SELECT sc.src, gg.i, sc.a * gg.val FROM sc JOIN gg ON gg.vid = sc.dst UNION ALL SELECT gda.dst, zg.i, gda.da * zg.val FROM gda JOIN zg ON zg.vid = gda.src) GROUP BY vid, i",
+    "sm": "SELECT vid, i, avg(val) AS val FROM (SELECT e.dst AS vid, x.i, x.val FROM e JOIN x ON x.vid = e.src UNION ALL SELECT vid, i, val FROM x) GROUP BY vid, i",
+    "sh": "SELECT sm.vid, w0.j AS i, greatest(sum(sm.val * w0.val), 0) AS val FROM sm JOIN w0 ON w0.i = sm.i GROUP BY sm.vid, w0.j",
+    "sm1": "SELECT vid, i, avg(val) AS val FROM (SELECT e.dst AS vid, sh.i, sh.val FROM e JOIN sh ON sh.vid = e.src UNION ALL SELECT vid, i, val FROM sh) GROUP BY vid, i",
+    "sz": "SELECT sm1.vid, w1.j AS i, sum(sm1.val * w1.val) AS val FROM sm1 JOIN w1 ON w1.i = sm1.i GROUP BY sm1.vid, w1.j",
 }
-_NEEDS: dict[str, list[str]] = {}
 
 
 def sql(body: str) -> str:
@@ -854,6 +858,26 @@ def _(s, d):
     return K.sample_with_replacement(graph(s, d).edges, 3)
 
 
+@query("k02_layerwise_inference", sql(LONG.format("sz")))
+def _(s, d):
+    return entries(sage.infer(graph(s, d), [W0, W1]))
+
+
+@query("k12_embedding_export", sql(LONG.format("sz")))
+def _(s, d):
+    path = scratch_path(s, "embeddings")
+    sage.export_embeddings(graph(s, d), [W0, W1], path)
+    return entries(s.read.parquet(path))
+
+
+@query("k13_sampled_training")
+def _(s, d):
+    t = sage.SageTrainer(graph(s, d), sage.SageOptions(SIZES, [5, 10], batch=200, dropout=0.1))
+    run = t.fit()
+    t.close()
+    return run.frame(s)
+
+
 @query("k03_sage_mean", sql("SELECT vid, CAST(i AS INTEGER) AS i, round(avg(val), 6) + 0.0 AS val FROM (SELECT e.dst AS vid, x.i, x.val FROM e JOIN x ON x.vid = e.src UNION ALL SELECT vid, i, val FROM x) GROUP BY vid, i"))
 def _(s, d):
     g = graph(s, d)
