@@ -872,7 +872,7 @@ def _(s, d):
 
 @query("k13_sampled_training")
 def _(s, d):
-    t = sage.SageTrainer(graph(s, d), sage.SageOptions(SIZES, [5, 10], batch=200, dropout=0.1))
+    t = sage.SageTrainer(graph(s, d), sage.SageOptions(SIZES, [5, 10], batch=400, dropout=0.1))
     run = t.fit()
     t.close()
     return run.frame(s)

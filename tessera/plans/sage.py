@@ -78,7 +78,9 @@ class SageTrainer:
             return df
 
         seeds = hold(seeds.select("vid"))
-        hops = [hold(b) for b in sampling.blocks(self.edges, seeds, o.fanouts, o.seed + key, o.replace)]
+        hops = sampling.blocks(self.edges, seeds, o.fanouts, o.seed + key, o.replace)
+        for b in reversed(hops):  # the seeds' own block first: the others are drawn from it
+            hold(b)
         want = [seeds]
         for b in reversed(hops[1:]):
             want.insert(0, hold(want[0].unionByName(b.select(F.col("src").alias("vid"))).distinct()))
