@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,12 +32,12 @@ _scratch: dict[str, str] = {}
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or in local mode without that
     setting a temporary folder."""
-    import tempfile
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _scratch.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if path.startswith(("/", "file:")):
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return path
