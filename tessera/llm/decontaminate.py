@@ -25,7 +25,7 @@ WIDTH, SHARE = 5, 0.8
 #: each); a larger benchmark is joined without that.
 BROADCAST_WINDOWS = 2_000_000
 #: Word types that a task remembers.
-CACHE = 1_000_000
+CACHE = 250_000
 
 # Words that are numbers, units that make a number a quantity, names known without a capital's help.
 NUMBER_WORDS = frozenset(

@@ -51,7 +51,7 @@ STEMS = range(4, 9)
 #: A feature that occurs twice and in at least one of so many words also counts as dense.
 DENSE = 200
 #: Words that a scoring task remembers the features of.
-CACHE = 500_000
+CACHE = 200_000
 
 
 def word_features(word: str) -> list[str]:
