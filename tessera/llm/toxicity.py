@@ -109,25 +109,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-#: Features that a task hands over at once.
+#: Features that a task counts before it hands them over.
 EMIT = 200_000
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    label, word = [], []
+    """(label, text) -> (word, k1, k): in how many texts a feature is, of label 1 and in all; counted in the task first."""
+    every: Counter[str] = Counter()
+    toxic: Counter[str] = Counter()
 
     def take() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(word, pa.string())], ["label", "word"])
-        label.clear()
-        word.clear()
-        return out
+        words = list(every)
+        out = [pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array(list(every.values()), pa.int64())]
+        every.clear()
+        toxic.clear()
+        return pa.RecordBatch.from_arrays(out, ["word", "k1", "k"])
 
     for batch in batches:
         for y, text in zip(batch["label"].to_pylist(), batch["text"]):
             found = features(text.as_py())
-            label += [y] * len(found)
-            word += found
-            if len(word) >= EMIT:
+            every.update(found)
+            if y:
+                toxic.update(found)
+            if len(every) >= EMIT:
                 yield take()
     yield take()
 
@@ -211,8 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     k1, k = F.col("k1"), F.col("k")
     expected = F.lit(n1 / n) * k
     best = (
-        sample.mapInArrow(_words, "label int, word string").groupBy("word")
-        .agg(F.sum("label").cast("double").alias("k1"), F.count("*").cast("double").alias("k"))
+        sample.mapInArrow(_words, "word string, k1 long, k long").groupBy("word")
+        .agg(F.sum("k1").cast("double").alias("k1"), F.sum("k").cast("double").alias("k"))
         .where(k >= p.min_rows)
         .orderBy(F.desc((k1 - expected) ** 2 / (expected + F.lit(1.0))), "word").limit(p.max_words)
     )
