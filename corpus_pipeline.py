@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import decontaminate, mixing, simhash, substring, toxicity
+from tessera.llm import decontaminate, mixing, nearcopies, substring, toxicity
 from tessera.llm.common import durable, fresh, table
 
 
@@ -20,8 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of SimHash copies."""
-    return simhash.representatives(docs)
+    """One document, the one with the smallest id, of each group of documents with 0.8 or more of their five-word shingles in common.
+
+    SimHash can't find these: at 0.8 fingerprints differ in about 10 of 64 bits, more than blocks of bits can prune."""
+    return nearcopies.representatives(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
