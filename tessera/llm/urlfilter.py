@@ -80,16 +80,48 @@ def longest_rule(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.join(best, ["host", "path"], "left")
 
 
+def resolve(base: Column, ref: Column) -> Column:
+    """ref as an absolute url, read from the page at base; null where base has no ://. Dot segments are taken out."""
+    part = lambda pattern: F.regexp_extract(base, pattern, 0)
+    scheme, site = part(r"(?s)\A[^:/?#]*:"), part(r"(?s)\A[^:/?#]*://[^/?#]*")
+    page, query = part(r"(?s)\A[^:/?#]*://[^/?#]*[^?#]*"), part(r"(?s)\A[^#]*")
+    folder = F.regexp_extract(page, r"(?s)\A([^:/?#]*://[^/?#]*/(?:.*/)?)", 1)
+    folder = F.when(folder == "", F.concat(site, F.lit("/"))).otherwise(folder)
+    whole = (
+        F.when(ref.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(F.startswith(ref, F.lit("//")), F.concat(scheme, ref))
+        .when(F.startswith(ref, F.lit("/")), F.concat(site, ref))
+        .when(F.startswith(ref, F.lit("?")), F.concat(page, ref))
+        .when(F.startswith(ref, F.lit("#")), F.concat(query, ref))
+        .otherwise(F.concat(folder, ref))
+    )
+    start = F.regexp_extract(whole, r"(?s)\A[^:/?#]*://[^/?#]*", 0)
+    rest = F.substring(whole, F.length(start) + 1, F.length(whole))
+    path = F.regexp_extract(rest, r"(?s)\A[^?#]*", 0)
+    steps = F.split(path, "/")
+    # a stack of the steps: .. takes the last one away, a dot step at the end leaves a slash
+    kept = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda k, x: F.when(x == ".", k).when(x == "..", F.when(F.size(k) > 1, F.slice(k, 1, F.greatest(F.size(k) - 1, F.lit(0)))).otherwise(k)).otherwise(F.concat(k, F.array(x))),
+    )
+    clean = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"(?s)/\.\.?\z"), "/").otherwise(""))
+    dots = path.rlike(r"(?s)/\.\.?(/|\z)")
+    out = F.when(dots, F.concat(start, clean, F.substring(rest, F.length(path) + 1, F.length(rest)))).otherwise(whole)
+    return F.when((site != "") & (ref != "") & (start != ""), out)
+
+
 def page_aliases(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between a page's url and what it says stands for it: the canonical link and the immediate refresh
-    of its html. Only absolute urls count; the first of each kind in a page is read."""
-    tag = lambda pattern: F.regexp_extract("html", pattern, 0)
-    link = tag(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
-    meta = tag(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
-    href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = pages.where("url IS NOT NULL AND html IS NOT NULL").select(F.col("url").alias("a"), F.explode(F.array(href, to)).alias("b"))
-    return found.where(F.contains("b", F.lit("://")) & (F.col("a") != F.col("b")))
+    """Edges (a, b) between a page's url and what it says stands for it: all canonical links and refreshes of its html,
+    relative ones read from the page's url. Absolute targets count for any url."""
+    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    links = tags(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
+    metas = tags(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
+    href = F.transform(links, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    to = F.transform(metas, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    found = pages.where("url IS NOT NULL AND html IS NOT NULL").select(F.col("url").alias("a"), F.explode(F.concat(href, to)).alias("r"))
+    absolute = F.when(F.col("r").rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), F.col("r"))
+    found = found.where("r <> ''").select("a", F.coalesce(resolve(F.col("a"), F.col("r")), absolute).alias("b"))
+    return found.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], aliases: DataFrame | None = None) -> DataFrame:
