@@ -55,7 +55,7 @@ def longest_rule(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Adds rule and rule_verdict of the longest fitting rule to rows with host and path, else nulls.
 
     Equal lengths: the longer host first, then allow before block. Up to MAX_INLINE_RULES rules become one CASE that
-    stays in generated code; more are joined on the host and its parent domains, at most 128 of them for one host, and
+    stays in generated code; more are joined on the host and all its parent domains, and
     reduced before any row is widened."""
     if not rules:
         return df.withColumns({"rule": F.lit(None).cast("string"), "rule_verdict": F.lit(None).cast("string")})
@@ -71,7 +71,7 @@ def longest_rule(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     table = spark.createDataFrame([(r.host, r.path, r.text, r.verdict, n) for n, r in enumerate(ordered)], "rh string, rp string, t string, v string, n int")
     places = df.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(128))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     best = (
         places.withColumn("rh", F.explode(parents)).join(table, "rh").where(F.startswith("path", "rp"))
         .groupBy("host", "path").agg(F.min(F.struct("n", "t", "v")).alias("m"))

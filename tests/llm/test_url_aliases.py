@@ -20,3 +20,9 @@ def test_all_tags_count_and_urls_match(spark):
     got = judged(spark, [page(1, "http://site.com/fr/1", links), page(2, "http://site.com/fr/2"), page(3, "http://site.com", '<link rel=canonical href="fr/2?a=1#b">'), page(4, "http://site.com/fr/2?a=1#b")], RULES)
     assert [got[i]["verdict"] for i in range(1, 5)] == ["block", "block", "allow", "allow"]
     assert [r["b"] for r in urlfilter.page_aliases(spark.createDataFrame([(3, "http://site.com", '<link rel=canonical href="fr/2?a=1#b">')], "page_id long, url string, html string")).collect()] == ["http://site.com/fr/2?a=1#b"]
+
+
+def test_hosts_of_many_labels_keep_their_parents(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "MAX_INLINE_RULES", 1)
+    got = judged(spark, [page(1, "x://" + "a." * 200 + "bad.org/"), page(2, "x://" + "a." * 200 + "good.org/")], RULES)
+    assert [got[i]["verdict"] for i in (1, 2)] == ["block", "allow"]
