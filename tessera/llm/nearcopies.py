@@ -26,11 +26,10 @@ BATCH = 1 << 16
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text's lower-cased words; a shorter text is one shingle."""
-    data = np.frombuffer((text or b"").translate(LOWER), dtype=np.uint8)
-    starts, ends = W.word_spans(data)
-    if not len(starts):
+    words = (text or b"").translate(LOWER).split()
+    if not words:
         return np.empty(0, dtype=W.U64)
-    return np.unique(W.mix(W.grams(W.word_hashes(data, starts, ends), min(width, len(starts)), W.BASE_A)))
+    return np.unique(W.mix(W.grams(W.WordHashes().of(words)[0], min(width, len(words)), W.BASE_A)))
 
 
 def key(members: np.ndarray) -> int:

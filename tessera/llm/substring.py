@@ -3,11 +3,14 @@
 The index keeps, for every content-defined anchor of the documents seen so far, the smallest and largest document that
 has it. It is a log of immutable runs, each bucketed and sorted by fingerprint: a new batch is merge-joined with every
 run, then becomes a run itself, and runs of like size are compacted into one. What shares no anchor shares no window, so
-only windows around shared anchors are verified, by 128-bit hashes of all their words."""
+only windows around shared anchors are verified, by 128 bits made from a cryptographic digest of each of their words.
+
+remove_repeats() takes a table through a log of its own; dedupe_batch() adds a batch to a log that is kept in a folder."""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -39,12 +42,6 @@ def _tag(text: bytes) -> int:
     return zlib.crc32(text)
 
 
-def _tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(text, dtype=np.uint8)
-    starts, ends = W.word_spans(data)
-    return starts, ends, data
-
-
 def _tagged(tag: int, places: np.ndarray) -> np.ndarray:
     return (np.int64(tag) << np.int64(32)) | places.astype(np.int64)
 
@@ -64,35 +61,73 @@ def anchors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     Null ids and null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = W.WordHashes()
         for batch in batches:
             hashes, docs_, places = [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary())):
-                text = text.as_py()
-                if doc_id is None or not text:
+                words = (text.as_py() or b"").split()
+                if doc_id is None or len(words) < window:
                     continue
-                starts, ends, data = _tokens(text)
-                if len(starts) < window:
-                    continue
-                at, grams = W.anchor_places(W.word_hashes(data, starts, ends), window, k)
+                at, grams = W.anchor_places(known.of(words)[0], window, k)
                 hashes.append(grams.view(np.int64))
-                places.append(_tagged(_tag(text), at))
+                places.append(_tagged(_tag(text.as_py()), at))
                 docs_.append(np.full(len(at), doc_id, dtype=np.int64))
             if hashes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, docs_, places)], ["hash", "doc_id", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, place long")
+    return docs.select("doc_id", "text").mapInArrow(run, POSTINGS)
+
+
+POSTINGS = "hash long, doc_id long, place long"
+RUN = "hash BIGINT, low BIGINT, high BIGINT"
 
 
 class FingerprintLog:
-    """Sorted immutable runs of (hash, low, high): the smallest and largest doc_id that has the fingerprint."""
+    """Sorted immutable runs of (hash, low, high): the smallest and largest doc_id that has the fingerprint.
+
+    With a folder (one that driver and executors share) the log outlives its session: after every batch a manifest names
+    its runs and the postings (hash, doc_id, place) of all batches, and a log opened on the folder goes on from the last
+    complete manifest. A batch that failed half-way is in no manifest; it can be taken again."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, buckets: int | None = None, folder: str | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/") if folder else None
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[str, str, int]] = []
+        self.postings: list[str] = []
+        self._retired: list[tuple[str, str, int]] = []
+        self._version = 0
+        if self.folder:
+            self._reopen()
+
+    def _reopen(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-*/_SUCCESS")
+        done = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        names = sorted(f.getPath().getParent().getName() for f in done)
+        if not names:
+            return
+        state = json.loads(self.spark.read.text(f"{self.folder}/{names[-1]}").first()[0])
+        self._version, self.buckets, self.postings = int(names[-1].split("-")[1]), state["buckets"], state["postings"]
+        for path, n in state["runs"]:
+            name = f"fingerprint_run_{uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.runs.append((name, path, n))
+
+    def _save(self) -> None:
+        """Names the runs in a new manifest, then deletes those that it names no more."""
+        if self.folder:
+            self._version += 1
+            state = json.dumps({"buckets": self.buckets, "postings": self.postings, "runs": [r[1:] for r in self.runs]})
+            self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self._version:08d}")
+        for run in self._retired:
+            self._drop(run)
+        self._retired = []
+
+    def path(self, tag: str) -> str:
+        return f"{self.folder}/{tag}-{uuid4().hex}" if self.folder else new_path(self.spark, tag)
 
     def _write(self, rows: DataFrame) -> tuple[str, str, int]:
-        name, path = f"fingerprint_run_{uuid4().hex}", new_path(self.spark, "run")
+        name, path = f"fingerprint_run_{uuid4().hex}", self.path("run")
         (
             rows.repartition(self.buckets, "hash").write.option("compression", "zstd").option("path", path)
             .bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
@@ -116,6 +151,7 @@ class FingerprintLog:
         shared = durable(reduce(DataFrame.unionByName, found).distinct(), "shared")
         self.runs.append(batch)
         self.compact()
+        self._save()
         return shared
 
     def compact(self) -> None:
@@ -125,13 +161,14 @@ class FingerprintLog:
             both = self.spark.table(a[0]).unionByName(self.spark.table(b[0]))
             merged = self._write(both.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")))
             self.runs[-2:] = [merged]
-            self._drop(a)
-            self._drop(b)
+            self._retired += [a, b]
 
     def drop(self) -> None:
-        for run in self.runs:
+        for run in self.runs + self._retired:
             self._drop(run)
-        self.runs = []
+        self.runs, self._retired = [], []
+        if self.folder:
+            remove(self.spark, self.folder)
 
 
 def _verify(window: int, k: int):
@@ -164,7 +201,7 @@ def _verify(window: int, k: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, known = [], 0, W.WordHashes()
         for batch in batches:
             for i, (doc_id, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()))):
                 text = text.as_py()
@@ -172,11 +209,10 @@ def _verify(window: int, k: int):
                 own = _untag(batch["places"][i].values.to_numpy(zero_copy_only=False), tag)
                 if not len(own) or (own == WHOLE).any():
                     continue
-                starts, ends, data = _tokens(text)
-                words = W.word_hashes(data, starts, ends)
-                at, _, _ = W.anchored_windows(words, window, k, np.sort(own))
-                h1 = W.mix(W.grams(words, window, W.BASE)[at])
-                h2 = W.mix(W.grams(words, window, W.BASE_B)[at])
+                first, second = known.of(text.split())
+                at, _, _ = W.anchored_windows(first, window, k, np.sort(own))
+                h1 = W.mix(W.grams(first, window, W.BASE)[at])
+                h2 = W.mix(W.grams(second, window, W.BASE_B)[at])
                 parts.append((h1, h2, np.full(len(at), doc_id, dtype=np.int64), _tagged(tag, at)))
                 held += len(at)
                 if held >= LOCAL:
@@ -221,6 +257,28 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _copies(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(m, tag, head): texts that several documents have and the smallest of them; (doc_id, place) of the others."""
+    same = d.groupBy(F.md5("text").alias("m"), F.crc32(F.col("text").cast("binary")).alias("tag"))
+    heads = same.agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail")
+    heads = durable(heads.select("m", "tag", "head"), "sub-heads")
+    later = d.select("doc_id", F.md5("text").alias("m")).join(heads, "m").where("doc_id > head")
+    return heads, durable(later.select("doc_id", F.shiftleft("tag", 32).bitwiseOR(F.lit(WHOLE)).alias("place")).distinct(), "sub-copies")
+
+
+def _flags(d: DataFrame, places: DataFrame, copies: DataFrame, window: int, k: int) -> DataFrame:
+    """Texts, places of their shared anchors and whole copies -> flags of the windows that a smaller document has."""
+    grouped = places.unionByName(copies).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    found = d.join(grouped, "doc_id").mapInArrow(_verify(window, k), WINDOWS)
+    flags = found.repartition("deal").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_compare, FLAGS)
+    whole = copies.select("doc_id", "place", F.lit(0).cast("long").alias("length"))
+    return flags.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "length")).alias("flags"))
+
+
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, batches: int = 3) -> DataFrame:
     """(doc_id, text) -> (doc_id, flags): the windows whose word sequence also starts in a document with a smaller id,
     as an array of (place, length): tag and first window, number of windows in a row; length 0 stands for all windows.
@@ -231,14 +289,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, bat
     an equi-join that AQE splits, and copies of a window are settled inside the task that reads them, so that at most
     one row for each task and hot window is dealt out."""
     spark = docs.sparkSession
-    d = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    same = d.groupBy(F.md5("text").alias("m"), F.crc32(F.col("text").cast("binary")).alias("tag"))
-    heads = same.agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail")
-    heads = durable(heads.select("m", "tag", "head"), "sub-heads")
-    ids = d.select("doc_id", F.md5("text").alias("m"))
-    copies = durable(
-        ids.join(heads, "m").where("doc_id > head").select("doc_id", F.shiftleft("tag", 32).bitwiseOR(F.lit(WHOLE)).alias("place")).distinct(), "sub-copies"
-    )
+    d = _usable(docs)
+    heads, copies = _copies(d)
     bounds = sorted(set(d.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     part = reduce(lambda c, b: c + (F.col("doc_id") > b).cast("int"), bounds, F.lit(0))
     feed = durable(anchors(d, window, k).withColumn("batch", part), "sub-anchors", "batch")
@@ -247,26 +299,43 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, bat
         shared = [log.ingest(feed.where(F.col("batch") == i).select("hash", "doc_id")) for i in range(len(bounds) + 1)]
     finally:
         log.drop()
-    hot = reduce(DataFrame.unionByName, shared).distinct()
-    hot = durable(hot, "sub-shared")
-    places = feed.join(hot, "hash").select("doc_id", "place").unionByName(copies)
-    grouped = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    found = d.join(grouped, "doc_id").mapInArrow(_verify(window, k), WINDOWS)
-    flags = found.repartition("deal").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_compare, FLAGS)
-    whole = copies.select("doc_id", "place", F.lit(0).cast("long").alias("length"))
-    flags = flags.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "length")).alias("flags"))
-    flags = durable(flags, "sub-flags")
+    hot = durable(reduce(DataFrame.unionByName, shared).distinct(), "sub-shared")
+    flags = durable(_flags(d, feed.join(hot, "hash").select("doc_id", "place"), copies, window, k), "sub-flags")
     discard(heads, copies, feed, hot, *shared)
     return flags
 
 
+def dedupe_batch(log: FingerprintLog, batch: DataFrame, earlier: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+    """Adds a batch (doc_id, text) to a log and returns the flags of its documents, as repeated_windows() does: windows that
+    also start in a document with a smaller id, of the batch or of any before it.
+
+    earlier holds (doc_id, text) of the documents that went into the log before; only those that share an anchor with
+    the batch are looked at. Batches with ascending ids together get the flags of one call on all of them; a document
+    is never judged again when a later batch brings a smaller id. Null ids and texts are left out; an empty batch gets
+    no flags."""
+    spark = batch.sparkSession
+    d = _usable(batch)
+    path = log.path("postings")
+    anchors(d, window, k).write.option("compression", "zstd").parquet(path)
+    feed = spark.read.schema(POSTINGS).parquet(path)
+    log.postings.append(path)
+    shared = log.ingest(feed.select("hash", "doc_id"))
+    places = spark.read.schema(POSTINGS).parquet(*log.postings).join(shared, "hash").select("doc_id", "place")
+    heads, copies = _copies(d)
+    flags = _flags(d.unionByName(_usable(earlier)), places, copies, window, k)
+    out = durable(flags.join(d.select("doc_id").distinct(), "doc_id", "left_semi"), "sub-flags")
+    discard(heads, copies, shared)
+    return out
+
+
 def _remove(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digests, kept = [], [], [], []
             for i, text in enumerate(batch["text"].cast(pa.binary())):
                 text = text.as_py() or b""
-                starts, ends, data = _tokens(text)
+                data = np.frombuffer(text, dtype=np.uint8)
+                starts, _ = W.word_spans(data)
                 n = len(starts)
                 gone = np.zeros(n, dtype=bool)
                 flags = batch["flags"][i]

@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
+from array import array
+from hashlib import blake2b
+
 import numpy as np
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
-#: Odd multipliers of the polynomial hashes, modulo 2**64.
+#: Odd multipliers of the window hashes.
 BASE, BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes of text hashed at once.
-CHUNK = 1 << 22
+#: Word types that a task remembers, and the most bytes of such a word.
+REMEMBERED, LONG = 200_000, 64
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers = np.ones(1, dtype=U64)
-_inverses = np.ones(1, dtype=U64)
-
-
-def _grow(n: int) -> None:
-    """Powers of BASE and of its inverse up to n."""
-    global _powers, _inverses
-    while len(_powers) < n:
-        k = len(_powers)
-        _powers = np.concatenate([_powers, _powers * U64(pow(BASE, k, 1 << 64))])
-        _inverses = np.concatenate([_inverses, _inverses * U64(pow(_INVERSE, k, 1 << 64))])
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit over all bits."""
@@ -46,24 +36,44 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; long texts go in chunks that end between words."""
-    out = np.empty(len(starts), dtype=U64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, side="right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        _grow(hi - lo + 1)
-        sums = np.zeros(hi - lo + 1, dtype=U64)
-        np.cumsum((data[lo:hi].astype(U64) + U64(1)) * _powers[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * _inverses[s])
-        i = j
-    return out
+class WordHashes(dict):
+    """Two independent 64-bit hashes of words, halves of one cryptographic digest; remembers up to REMEMBERED word types."""
+
+    def __init__(self):
+        super().__init__()
+        self.first, self.second = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        at = len(self.first)
+        digest = blake2b(word, digest_size=16).digest()
+        self.first.append(int.from_bytes(digest[:8], "little"))
+        self.second.append(int.from_bytes(digest[8:], "little"))
+        if len(word) <= LONG:
+            self[word] = at
+        return at
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """First and second hash of each word."""
+        if len(self.first) > REMEMBERED:
+            self.clear()
+            self.first, self.second = array("Q"), array("Q")
+        ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.frombuffer(self.first, dtype=U64)[ids], np.frombuffer(self.second, dtype=U64)[ids]
+
+
+def _join(x: np.ndarray, y: np.ndarray, base: int) -> np.ndarray:
+    """Hash of pairs; every bit of both ends up in the high and low half."""
+    z = x * U64(base)
+    z += y
+    z ^= z >> U64(32)
+    z *= U64(0x94D049BB133111EB)
+    z ^= z >> U64(29)
+    return z
 
 
 def grams(h: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Polynomial hash of every k consecutive values, by doubling; empty if there are fewer."""
+    """Hash of every k consecutive values, by doubling; empty if there are fewer. The steps in between are not linear, so
+    patterns of values can't cancel out as in a polynomial."""
     if len(h) < k:
         return np.empty(0, dtype=U64)
     out, size, part, m = None, 0, h, 1
@@ -73,11 +83,11 @@ def grams(h: np.ndarray, k: int, base: int) -> np.ndarray:
                 out = part
             else:
                 n = min(len(out), len(part) - size)
-                out = out[:n] * U64(pow(base, m, 1 << 64)) + part[size : size + n]
+                out = _join(out[:n], part[size : size + n], base)
             size += m
         if size == k:
             return out[: len(h) - k + 1]
-        part = part[:-m] * U64(pow(base, m, 1 << 64)) + part[m:]
+        part = _join(part[:-m], part[m:], base)
         m *= 2
 
 
