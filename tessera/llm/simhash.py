@@ -61,8 +61,22 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return r
 
 
+def gray_order(group: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Order by group, inside it by the Gray rank of codes of one or more words, the first word the most significant."""
+    ranks, odd = [], np.uint64(0)
+    for word in codes.T:
+        ranks.append(gray_rank(word) ^ (np.uint64(0) - odd))
+        odd = ranks[-1] & np.uint64(1)  # whether the bits so far are odd in number: then the rest runs backwards
+    return np.lexsort((*ranks[::-1], group))
+
+
+def bits_in(x: np.ndarray) -> np.ndarray:
+    """Number of set bits of codes of several words."""
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int16)
+
+
 class GrayIndex:
-    """Sorted fingerprints under nodes that factor out what their members share.
+    """Sorted fingerprints, of 64 bits or some words of them, under nodes that factor out what their members share.
 
     Every node has a mask of the bits on which all fingerprints below it agree, and their pattern there. Fingerprints
     are in Gray order inside their upper node (group), so neighbours differ in few bits and masks stay wide. Two nodes
@@ -71,13 +85,16 @@ class GrayIndex:
     one link, so dense groups of copies are never expanded into their pairs."""
 
     def __init__(self, group: np.ndarray, codes: np.ndarray):
-        order = np.lexsort((gray_rank(codes), group))
+        wide = codes.reshape(len(codes), -1)
+        order = gray_order(group, wide)
         self.order, self.codes, self.group = order, codes[order], group[order]
+        wide = wide[order]
+        self.bits = 64 * wide.shape[1]
         n = len(codes)
         self.parent = np.arange(n)
         # levels[0] are the fingerprints; each entry: mask, pattern, first child, end of children, first fingerprint
         starts = np.arange(n)
-        self.levels = [(np.full(n, ~np.uint64(0)), self.codes, starts, starts + 1, starts)]
+        self.levels = [(np.full(wide.shape, ~np.uint64(0)), wide, starts, starts + 1, starts)]
         roots = np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]]) if n else starts
         edge = roots
         while n and len(self.levels[-1][0]) > len(roots):
@@ -85,8 +102,8 @@ class GrayIndex:
             within = np.arange(len(mask)) - np.repeat(edge, np.diff(np.r_[edge, len(mask)]))
             cut = np.flatnonzero(within % FAN == 0)
             end = np.r_[cut[1:], len(mask)]
-            both = np.bitwise_and.reduceat(mask, cut)
-            same = ~(np.bitwise_or.reduceat(pattern, cut) ^ np.bitwise_and.reduceat(pattern, cut))
+            both = np.bitwise_and.reduceat(mask, cut, axis=0)
+            same = ~(np.bitwise_or.reduceat(pattern, cut, axis=0) ^ np.bitwise_and.reduceat(pattern, cut, axis=0))
             m = both & same
             self.levels.append((m, pattern[cut] & m, cut, end, first[cut]))
             edge = np.searchsorted(cut, edge)
@@ -118,12 +135,16 @@ class GrayIndex:
         while stack:
             level, a, b = stack.pop()
             mask, pattern, first_child, end_child, first = self.levels[level]
-            ma, mb = mask[a], mask[b]
-            shared = ma & mb
-            least = np.bitwise_count((pattern[a] ^ pattern[b]) & shared).astype(np.int16)
-            keep = least <= limit
-            a, b, shared, least = a[keep], b[keep], shared[keep], least[keep]
-            whole = least + (64 - np.bitwise_count(shared).astype(np.int16)) <= limit
+            if level:
+                shared = mask[a] & mask[b]
+                least = bits_in((pattern[a] ^ pattern[b]) & shared)
+                keep = least <= limit
+                a, b, shared, least = a[keep], b[keep], shared[keep], least[keep]
+                whole = least + (self.bits - bits_in(shared)) <= limit
+            else:
+                whole = np.ones(len(a), dtype=bool)
+                keep = bits_in(pattern[a] ^ pattern[b]) <= limit
+                a, b, whole = a[keep], b[keep], whole[keep]
             if whole.any():
                 # every two fingerprints below the two nodes are within the limit: all of them are one component
                 both = np.r_[a[whole], b[whole]]
@@ -138,7 +159,6 @@ class GrayIndex:
             if not level or not len(a):
                 continue
             p = self.find()
-            last = np.r_[first[1:], len(self.codes)]
             low, high = np.minimum.reduceat(p, first), np.maximum.reduceat(p, first)
             # both nodes lie in one and the same component already
             done = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
@@ -194,14 +214,12 @@ def near_links(prints: DataFrame, limit: int = 3, node_limit: int = NODE_LIMIT)
         rest = 64 - wide
         # the bits outside the block, moved together
         low = F.col("block") * wide
-        ones = F.lit(-1).cast("long")
         below = F.col("fp").bitwiseAND(F.expr(f"~shiftleft(-1L, block * {wide})"))
         above = F.when(low + wide >= 64, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(shiftrightunsigned(fp, block * {wide} + {wide}), block * {wide})"))
         bits = below.bitwiseOR(above)
         part = rest // blocks
         split = F.array(*(F.xxhash64("node", F.lit(i), pattern(bits, i * part, part if i < blocks - 1 else rest - i * part)) for i in range(blocks)))
         top = marked.select("fp", F.explode(F.when(F.col("hot"), split).otherwise(F.array("node"))).alias("node"))
-        del ones
     dealt = top.select("node", "fp").repartition("node")
     return dealt.mapInArrow(_links(limit), "a long, b long").distinct()
 

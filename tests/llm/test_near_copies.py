@@ -55,14 +55,39 @@ def test_near_copies_of_similarity_0_8_go(spark, tiny):
     assert {i for i, _, _ in rows} - {r["doc_id"] for r in out.collect()} == gone
 
 
-def test_alike_sets_share_a_signature():
+def test_alike_sets_share_a_node():
+    """At the bound, with as many masks as two hundred thousand and twenty million fingerprints get."""
     rng = np.random.default_rng(2)
-    classes = nearcopies.Classes(0.8)
-    for n in range(1, 400):
-        a = np.unique(rng.integers(1 << 63, size=n).astype(np.uint64))
-        k = int(n / 9 + 1e-9)  # k of n replaced: similarity (n - k) / (n + k) of 0.8 or more
-        for b in (a[: int(np.ceil(0.8 * n))], np.unique(np.r_[rng.permutation(a)[k:], rng.integers(1 << 63, size=k).astype(np.uint64)])):
-            assert np.intersect1d(classes.signatures(a), classes.signatures(b)).size
+    for n in (200_000, 20_000_000):
+        table, salt = nearcopies.masks(n), np.zeros(2, dtype=np.uint64)
+        met = near = 0
+        for size in list(range(9, 60)) * 4 + [100, 300, 900] * 20:
+            a = np.unique(rng.integers(1 << 63, size=size).astype(np.uint64))
+            k = size // 9  # k of n replaced: similarity (n - k) / (n + k) of 0.8 or more
+            b = np.unique(np.r_[rng.permutation(a)[k:], rng.integers(1 << 63, size=k).astype(np.uint64)])
+            codes = np.stack([nearcopies.fingerprint(a), nearcopies.fingerprint(b)])
+            near += np.bitwise_count(codes[0] ^ codes[1]).sum() <= nearcopies.LIMIT
+            met += any(h[0] == h[1] for h in nearcopies.nodes(codes, table, salt))
+        assert near == 264 and met >= 261
+
+
+def test_clusters_of_several_blocks_and_split_nodes(spark, monkeypatch):
+    """One original with many copies of it, of which some are too far off, through small nodes, blocks and batches."""
+    rng = np.random.default_rng(5)
+    base, rows = prose(rng, 120, 5000).split(), []
+    for i in range(150):
+        text = list(base)
+        for at in rng.integers(len(text), size=int(rng.integers(7))):
+            text[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(text), "s"))
+    rows += [(200 + i, prose(rng, 120, 5000), "s") for i in range(150)]
+    want = brute_gone(rows)
+    assert 50 < len(want) < 149
+    for name, small in (("BLOCK_SETS", 9), ("TOGETHER", 20), ("NODE", 16)):
+        monkeypatch.setattr(nearcopies, name, small)
+    for node, limit in ((16, 40), (128, 100_000)):
+        got = nearcopies.components(corpus(spark, rows), node=node, node_limit=limit).collect()
+        assert {r["doc_id"] for r in got if r["doc_id"] != r["component_id"]} == want
 
 
 def test_rows_of_the_stage_stay_whole(spark):
