@@ -32,16 +32,16 @@ IDENTITY_GROUPS = (
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """max_rows bounds the labelled rows that the classifier is fitted on and max_words its vocabulary; both fix the
-    memory of the driver. max_swaps bounds the counterfactual sentences taken from those rows."""
+    """max_rows bounds the labelled rows that the classifier is fitted on, and so the memory of the driver. Every feature that
+    min_rows of them have gets a weight, and every counterfactual sentence in them counts. telling is the chi-square of a
+    feature with the label at which its prior is a half."""
 
     max_rows: int = 10_000
-    max_words: int = 4_000
-    max_swaps: int = 20_000
     min_rows: int = 3
     l2: float = 2e-4
+    telling: float = 15.0
     counterfactual: float = 1.0
-    steps: int = 400
+    steps: int = 200
     rate: float = 0.1
     groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS
 
@@ -114,47 +114,44 @@ EMIT = 200_000
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) -> (word, k1, k): in how many texts a feature is, of label 1 and in all; counted in the task first."""
+    """(text) -> (word, k): in how many texts a feature is; counted in the task first."""
     every: Counter[str] = Counter()
-    toxic: Counter[str] = Counter()
 
     def take() -> pa.RecordBatch:
-        words = list(every)
-        out = [pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array(list(every.values()), pa.int64())]
+        out = pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64())], ["word", "k"])
         every.clear()
-        toxic.clear()
-        return pa.RecordBatch.from_arrays(out, ["word", "k1", "k"])
+        return out
 
     for batch in batches:
-        for y, text in zip(batch["label"].to_pylist(), batch["text"]):
-            found = features(text.as_py())
-            every.update(found)
-            if y:
-                toxic.update(found)
+        for text in batch["text"]:
+            every.update(features(text.as_py()))
             if len(every) >= EMIT:
                 yield take()
     yield take()
 
 
-def _rows(vocabulary: dict[str, int], partner: dict[str, tuple[str, ...]]):
+def _rows(vocabulary, partner: dict[str, tuple[str, ...]]):
+    """(doc_id, label, text) -> a row's features, or (label -1) those that only a sentence has and only its swapped form."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = vocabulary.value
         for batch in batches:
             kind, key, a, b = [], [], [], []
             for doc_id, y, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "label", "text"))):
                 kind.append(y)
                 key.append(doc_id)
-                a.append(sorted(vocabulary[t] for t in features(text) & vocabulary.keys()))
-                b.append(None)
+                a.append(sorted(number[t] for t in features(text) if t in number))
+                b.append([])
                 for sentence in SENTENCE.split(text or ""):
                     words = TOKEN.findall(sentence.lower())
                     for term in sorted(partner.keys() & set(words)):
-                        own = sorted(vocabulary[t] for t in features(sentence) & vocabulary.keys())
+                        own = features(sentence)
                         for other in partner[term]:
                             swapped = features(" ".join(other if w == term else w for w in words))
                             kind.append(-1)
-                            key.append(doc_id)
-                            a.append(own)
-                            b.append(sorted(vocabulary[t] for t in swapped & vocabulary.keys()))
+                            key.append(None)
+                            a.append(sorted(number[t] for t in own - swapped if t in number))
+                            b.append(sorted(number[t] for t in swapped - own if t in number))
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(a, ints), pa.array(b, ints)], ["kind", "doc_id", "a", "b"]
@@ -163,34 +160,85 @@ def _rows(vocabulary: dict[str, int], partner: dict[str, tuple[str, ...]]):
     return run
 
 
-def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and word number of each entry."""
-    size = np.array([len(r) for r in rows], dtype=np.int64)
-    return np.repeat(np.arange(len(rows)), size), np.array([x for r in rows for x in r], dtype=np.int64)
-
-
-def fit_weights(rows: list[list[int]], y: np.ndarray, swaps: list[tuple[list[int], list[int]]], n: int, p: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Minimises mean log loss + l2 |w|^2 + counterfactual * mean (logit(s) - logit(s swapped))^2 by Adam."""
-    r, c = _flat(rows)
-    ra, ca = _flat([a for a, _ in swaps])
-    rb, cb = _flat([b for _, b in swaps])
-    w, bias = np.zeros(n), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    m, v = np.zeros(n + 1), np.zeros(n + 1)
+@dataclass
+class Lists:
+    """Lists of numbers, one after another: those of list i are items[cut[i] : cut[i + 1]]."""
+
+    cut: np.ndarray
+    items: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.ChunkedArray) -> Lists:
+        size = np.concatenate([np.zeros(1, dtype=np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in column.chunks)])
+        flat = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+        return cls(np.cumsum(size), np.concatenate(flat) if flat else np.empty(0, dtype=np.int32))
+
+    def numbers(self) -> np.ndarray:
+        """For every item the number of its list."""
+        return np.repeat(np.arange(len(self.cut) - 1, dtype=np.int32), np.diff(self.cut))
+
+    def turned(self, n: int) -> Lists:
+        """For each of n numbers the lists that hold it."""
+        order = np.argsort(self.items, kind="stable")
+        return Lists(np.searchsorted(self.items[order], np.arange(n + 1)), self.numbers()[order])
+
+    def stretches(self, size: int = 1 << 17) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Lists that are not empty, a stretch of about `size` items at a time: their numbers, items and starts."""
+        full = np.flatnonzero(self.cut[1:] > self.cut[:-1])
+        if not len(full):
+            return []
+        edge = np.flatnonzero(np.diff(self.cut[full] // size)) + 1
+        return [(p, self.items[self.cut[p[0]] : self.cut[p[-1] + 1]], self.cut[p] - self.cut[p[0]]) for p in np.split(full, edge)]
+
+
+def sums(stretches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray, n: int) -> np.ndarray:
+    """Sum of x over the items of each of n lists."""
+    out = np.zeros(n)
+    for part, items, start in stretches:
+        out[part] = np.add.reduceat(x[items], start)
+    return out
+
+
+def fit_weights(rows: Lists, y: np.ndarray, a: Lists, b: Lists, times: np.ndarray, n: int, p: ToxicityParams) -> tuple[np.ndarray, float]:
+    """Minimises mean log loss + l2 |w|^2 + counterfactual * mean (logit(s) - logit(s swapped))^2 by Adam.
+
+    Pair i has the features a[i] on one side only and b[i] on the other, and stands for times[i] sentences. The penalty of a
+    feature grows as it tells less of the labels, smoothly and without end, so that the many that tell nothing don't
+    add up. Features of exactly the same rows are fitted as one of the same total and penalty."""
+    holders = rows.turned(n)
+    k = np.diff(holders.cut).astype(float)
+    expected = y.mean() * k
+    told = (sums(holders.stretches(), y, n) - expected) ** 2 / (expected + 1)
+    prior = told**2 / (told**2 + p.telling**2) + 1e-4
+    mark = np.random.default_rng(1).integers(1 << 62, size=len(y) + 1)
+    seen = np.add.reduceat(np.append(mark[holders.items], 0), np.minimum(holders.cut[:-1], len(holders.items)))
+    seen[np.diff(holders.cut) == 0] = -1 - np.flatnonzero(np.diff(holders.cut) == 0)  # features without rows stay apart
+    _, one, same, many = np.unique(seen, return_index=True, return_inverse=True, return_counts=True)
+    scale, k = np.sqrt(many) * prior[one], len(one)
+    part = np.sqrt(many) / prior[one]  # a feature's weight is w / part
+    keep = np.zeros(n, dtype=bool)
+    keep[one] = True
+    chosen = keep[rows.items]
+    rows = Lists(np.r_[0, np.cumsum(chosen)][rows.cut], same[rows.items[chosen]].astype(np.int32))
+    by_row, by_feature = rows.stretches(), rows.turned(k).stretches()
+    a, b = (Lists(x.cut, same[x.items].astype(np.int32)) for x in (a, b))
+    on_a, on_b, share = a.numbers(), b.numbers(), times / max(times.sum(), 1)
+    w, bias = np.zeros(k), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, p.steps + 1):
-        z = np.bincount(r, w[c], len(rows)) + bias
+        z = sums(by_row, w * scale, len(y)) + bias
         e = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(y)
-        g = np.bincount(c, e[r], n) + 2 * p.l2 * w
-        if swaps:
-            d = np.bincount(ra, w[ca], len(swaps)) - np.bincount(rb, w[cb], len(swaps))
-            d *= 2 * p.counterfactual / len(swaps)
-            g += np.bincount(ca, d[ra], n) - np.bincount(cb, d[rb], n)
+        g = sums(by_feature, e, k) * scale + 2 * p.l2 * w
+        each = w / part
+        d = (np.bincount(on_a, each[a.items], len(times)) - np.bincount(on_b, each[b.items], len(times))) * share * (2 * p.counterfactual)
+        g += (np.bincount(a.items, d[on_a], k) - np.bincount(b.items, d[on_b], k)) / part
         full = np.append(g, e.sum())
         m = 0.9 * m + 0.1 * full
         v = 0.999 * v + 0.001 * full * full
         step = p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w -= step[:-1]
         bias -= float(step[-1])
-    return w, bias
+    return (w / part)[same], bias
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
@@ -199,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     Fitted on at most max_rows labelled rows, those whose ids hash lowest. Rows with null ids or labels are not used;
     several labels of one document count as 1 if at least half are; of documents that repeat an id the least text is read.
     Without usable rows the model scores everything 0.5 less one part in a million, so it rejects nothing."""
-    p = params
+    p, spark = params, docs.sparkSession
     ids = (
         labels.where("doc_id IS NOT NULL AND label IS NOT NULL")
         .groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
@@ -208,31 +256,25 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     ids = durable(ids, "tox-ids")  # at most max_rows rows of two numbers, whatever the input
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     sample = durable(sample, "tox-sample")
-    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
-    n, n1 = totals["n"], totals["n1"]
-    if n == 0:
+    if sample.isEmpty():
         return ToxicityModel(bias=-4e-6)
-    k1, k = F.col("k1"), F.col("k")
-    expected = F.lit(n1 / n) * k
-    best = (
-        sample.mapInArrow(_words, "word string, k1 long, k long").groupBy("word")
-        .agg(F.sum("k1").cast("double").alias("k1"), F.sum("k").cast("double").alias("k"))
-        .where(k >= p.min_rows)
-        .orderBy(F.desc((k1 - expected) ** 2 / (expected + F.lit(1.0))), "word").limit(p.max_words)
+    found = (
+        sample.mapInArrow(_words, "word string, k long").groupBy("word").agg(F.sum("k").alias("k"))
+        .where(F.col("k") >= p.min_rows).select("word").toArrow()["word"].to_pylist()
     )
-    terms = {t for g in p.groups for t in g}
-    words = sorted({r["word"] for r in best.collect()} | terms)
-    vocabulary = {w: i for i, w in enumerate(words)}
+    words = sorted({*found, *(t for g in p.groups for t in g)})
+    vocabulary = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # features of the bounded sample
     partner = {t: tuple(o for o in g if o != t) for g in p.groups for t in g}
-    got = sample.mapInArrow(_rows(vocabulary, partner), "kind int, doc_id long, a array<int>, b array<int>")
-    got = durable(got, "tox-rows")
-    rows = [(r["doc_id"], list(r["a"]), r["kind"]) for r in got.where("kind >= 0").select("doc_id", "a", "kind").collect()]
-    rows.sort()
-    swaps = got.where("kind < 0").select("a", "b").orderBy(F.xxhash64("doc_id", "a", "b")).limit(p.max_swaps)
-    pairs = [(list(r["a"]), list(r["b"])) for r in swaps.collect()]
+    got = durable(sample.mapInArrow(_rows(vocabulary, partner), "kind int, doc_id long, a array<int>, b array<int>"), "tox-rows")
+    rows = got.where("kind >= 0").select("doc_id", "a", "kind").orderBy("doc_id").toArrow()
+    swaps = got.where("kind < 0").groupBy("a", "b").agg(F.count("*").alias("times")).orderBy("a", "b").toArrow()
     # terms the sample lacks are tied to their group by the bare swap
-    pairs += [([vocabulary[g[0]]], [vocabulary[t]]) for g in p.groups for t in g[1:]]
-    w, bias = fit_weights([a for _, a, _ in rows], np.array([y for _, _, y in rows], dtype=float), pairs, len(words), p)
+    number = vocabulary.value
+    bare = [(number[g[0]], number[t]) for g in p.groups for t in g[1:]]
+    lists = pa.list_(pa.int32())
+    a, b = (Lists.of(pa.chunked_array([*swaps[c].chunks, pa.array([[x[i]] for x in bare], lists)], lists)) for i, c in enumerate("ab"))
+    times = np.r_[swaps["times"].to_numpy(), np.ones(len(bare))]
+    w, bias = fit_weights(Lists.of(rows["a"]), rows["kind"].to_numpy().astype(float), a, b, times, len(words), p)
     return ToxicityModel({t: float(x) for t, x in zip(words, w) if x}, bias)
 
 
@@ -240,7 +282,7 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFra
     """Adds to each row, as column name (replaced if docs has it), the toxicity of its whole text, 0 to 1; null and empty
     texts get the score of no words."""
     docs = docs.drop(name)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words weights and the identity terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of features that min_rows of max_rows rows have
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shared.value.scorer()
