@@ -22,9 +22,9 @@ from .common import discard, durable
 LENGTH, ANCHOR = 100, 32
 #: Bytes of context that a task compares among themselves before they are dealt out, and that one suffix array holds.
 LOCAL, SHARD = 32 << 20, 6 << 20
-#: Occurrences of an anchor beyond which its windows are dealt out one by one, by their own hash.
+#: Occurrences of an anchor beyond which its windows are dealt out one by one, each a context of its own.
 HOT = 50_000
-#: The reduced string is sorted by recursion if its buckets hold so many suffixes on average, else by rank doubling.
+#: Suffixes of a bucket, on average, from which induction takes whole stretches of a bucket at a time, else one by one.
 PER_BUCKET = 200
 WHOLE = 0xFFFFFFFF
 
@@ -43,6 +43,31 @@ def suffix_types(s: np.ndarray) -> np.ndarray:
     return np.append(less[turn], True)
 
 
+def _induce_each(s: np.ndarray, small: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """As _induce(), one suffix after the other: for many small buckets."""
+    end = np.cumsum(count)
+    text, is_small, sa = s.tolist(), small.tolist(), [-1] * len(s)
+    tail = end.tolist()
+    for i in lms[::-1].tolist():
+        c = text[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = (end - count).tolist()
+    for i in sa:  # grows ahead of the loop, never behind it
+        if i > 0 and not is_small[i - 1]:
+            c = text[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = end.tolist()
+    for at in range(len(sa) - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and is_small[i - 1]:
+            c = text[i - 1]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    return np.array(sa, dtype=np.int32)
+
+
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Suffix array from the leftmost S suffixes (lms) in sorted order: L suffixes left to right, then S right to left.
 
@@ -127,45 +152,30 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return out, int(named[-1]) + 1
 
 
-def _double(r: np.ndarray, depth: int | None) -> np.ndarray:
-    """Suffix order of a string of names by doubling ranks; names to the depth only, if given."""
-    k = 1
-    while True:
-        key = r * (int(r.max()) + 2)
-        key[:-k] += r[k:] + 1 if k < len(r) else 0
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.cumsum(np.append(False, sorted_key[1:] != sorted_key[:-1]))
-        k *= 2
-        if new[-1] == len(r) - 1 or k >= len(r) or (depth and k > depth):
-            return order
-        r = np.empty_like(r)
-        r[order] = new
-
+def suffix_array(s: np.ndarray, levels: list[int] | None = None, per_bucket: int = PER_BUCKET) -> np.ndarray:
+    """Suffix array of s, whose last element is 0 and the only 0, by induced sorting: the leftmost-S substrings are sorted by
+    a first induction, the string of their names by recursion unless all differ, and the suffixes by a second induction.
 
-def suffix_array(s: np.ndarray, depth: int | None = None, per_bucket: int = PER_BUCKET) -> np.ndarray:
-    """Suffix array of s, whose last element is 0 and the only 0, by induced sorting.
-
-    With depth, suffixes that agree on their first depth leftmost-S substrings may stand in any order."""
+    levels, if given, receives the length of the string at every level of the recursion."""
     n = len(s)
+    if levels is not None:
+        levels.append(n)
     if n <= 2:
         return np.arange(n - 1, -1, -1, dtype=np.int32)
     small = suffix_types(s)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     count = np.bincount(s)
+    induce = _induce if n >= per_bucket * np.count_nonzero(count) else _induce_each
     rough = lms[np.argsort(s[lms], kind="stable")]
-    sa = _induce(s, small, rough, count)
+    sa = induce(s, small, rough, count)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
     named, n_names = _names(s, lms, order)
     if n_names < len(lms):
-        if n_names * per_bucket <= len(lms):
-            kind = np.uint16 if n_names <= 1 << 16 else np.int64
-            order = lms[suffix_array(named.astype(kind), depth, per_bucket)]
-        else:
-            order = lms[_double(named, depth)]
-    return _induce(s, small, order, count)
+        kind = np.uint16 if n_names <= 1 << 16 else np.int64
+        order = lms[suffix_array(named.astype(kind), levels, per_bucket)]
+    return induce(s, small, order, count)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray, starts: np.ndarray, cap: int) -> np.ndarray:
@@ -212,7 +222,7 @@ def repeats_in(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     s[:-1] = flat.astype(kind) + kind(2)
     s[starts + sizes] = 1
     s[-1] = 0
-    sa = suffix_array(s, depth=int(sizes.max(initial=1)))
+    sa = suffix_array(s)
     reach = int(sizes.max(initial=0)) + length + 8
     plcp = permuted_prefixes(s, sa, starts, reach)
     group = np.cumsum(plcp[sa] < length)
@@ -244,25 +254,23 @@ def _places(length: int, k: int):
     return run
 
 
-NAMES = ["deal", "doc_id", "place", "length", "context", "h1", "h2"]
-ROWS = "deal long, doc_id long, place long, length long, context binary, h1 long, h2 long"
+NAMES = ["deal", "doc_id", "place", "length", "context"]
+ROWS = "deal long, doc_id long, place long, length long, context binary"
 FLAGS = ["doc_id", "place", "length"]
 
 
-def _rows(deal, doc, place, length, context=None, h1=None, h2=None) -> pa.RecordBatch:
-    n = len(deal)
-    ints = [pa.array(x, pa.int64()) if x is not None else pa.nulls(n, pa.int64()) for x in (deal, doc, place, length)]
-    rest = [pa.array(x, pa.int64()) if x is not None else pa.nulls(n, pa.int64()) for x in (h1, h2)]
-    return pa.RecordBatch.from_arrays([*ints, pa.array(context, pa.binary()) if context is not None else pa.nulls(n, pa.binary()), *rest], NAMES)
+def _rows(deal, doc, place, length, context=None) -> pa.RecordBatch:
+    ints = [pa.array(x, pa.int64()) for x in (deal, doc, place, length)]
+    return pa.RecordBatch.from_arrays([*ints, pa.array(context, pa.binary()) if context is not None else pa.nulls(len(deal), pa.binary())], NAMES)
 
 
 def _contexts(length: int, k: int):
-    """(doc_id, text, places) -> contexts of repeated anchors, windows of hot ones, and runs that are settled here."""
+    """(doc_id, text, places) -> contexts of repeated anchors, and runs that are settled here (no context)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int, int, int]] = {}
         settled: list[tuple[int, int, int]] = []
-        hot: list[tuple[np.ndarray, ...]] = []
+        twins: list[tuple[int, int, int, int, bytes]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -272,22 +280,11 @@ def _contexts(length: int, k: int):
             if seen:
                 deal, doc, place, n = zip(*seen.values())
                 yield _rows(deal, doc, place, n, list(seen))
-            if hot:
-                h1, h2, doc, place = (np.concatenate(x) for x in zip(*hot))
-                order = np.lexsort((place & np.int64(WHOLE), doc, h2, h1))
-                h1, h2, doc, place = h1[order], h2[order], doc[order], place[order]
-                head = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-                d, p = doc[~head], place[~head]
-                # equal places of one document are one window
-                at = np.flatnonzero(head)[np.cumsum(head) - 1][~head]
-                later = (d != doc[at]) | (p != place[at])
-                if later.any():
-                    yield _rows(d[later], d[later], p[later], np.ones(later.sum(), dtype=np.int64))
-                key = h1[head].view(np.int64)
-                yield _rows(key, doc[head], place[head], np.ones(len(key), dtype=np.int64), None, key, h2[head].view(np.int64))
+            if twins:
+                yield _rows(*zip(*twins))
             seen.clear()
             settled.clear()
-            hot.clear()
+            twins.clear()
 
         for batch in batches:
             for i, (doc_id, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()))):
@@ -307,29 +304,29 @@ def _contexts(length: int, k: int):
                 if not len(starts):
                     continue
                 base = tag << 32 if tag < 1 << 31 else (tag << 32) - (1 << 64)
-                by_hash = is_hot[np.searchsorted(place, at)]
-                if by_hash.any():
-                    w = starts[by_hash]
-                    h1 = W.mix(W.grams(tokens, length, W.BASE)[w])
-                    h2 = W.mix(W.grams(tokens, length, W.BASE_B)[w])
-                    hot.append((h1, h2, np.full(len(w), doc_id, dtype=np.int64), w | np.int64(base)))
-                    held += 32 * len(w)
-                cut = np.flatnonzero(np.r_[True, (starts[1:] != starts[:-1] + 1) | (at[1:] != at[:-1])])
+                # a context is a run of windows around one anchor; windows of a hot anchor stand alone, dealt by their own hash
+                alone = is_hot[np.searchsorted(place, at)]
+                deal = grams.view(np.int64)
+                if alone.any():
+                    deal = np.where(alone, W.mix(W.grams(tokens, length, W.BASE)[starts]).view(np.int64), deal)
+                cut = np.flatnonzero(np.r_[True, (starts[1:] != starts[:-1] + 1) | (at[1:] != at[:-1]) | alone[1:]])
                 last = np.r_[cut[1:], len(starts)] - 1
-                cold = ~by_hash[cut]
-                deals = grams.view(np.int64)[cut][cold].tolist()
-                for lo, hi, deal in zip(starts[cut][cold].tolist(), starts[last][cold].tolist(), deals):
+                for lo, hi, to in zip(starts[cut].tolist(), starts[last].tolist(), deal[cut].tolist()):
                     context = text[lo : hi + length]
                     n = hi - lo + 1
                     old = seen.get(context)
                     if old is None:
-                        seen[context] = (deal, doc_id, base | lo, n)
+                        seen[context] = (to, doc_id, base | lo, n)
                         held += len(context) + 200
                     elif (doc_id, lo) < (old[1], old[2] & WHOLE):
                         settled.append((old[1], old[2], n))
-                        seen[context] = (deal, doc_id, base | lo, n)
-                    elif (doc_id, base | lo) != (old[1], old[2]):
+                        seen[context] = (to, doc_id, base | lo, n)
+                    elif (doc_id, lo) != (old[1], old[2] & WHOLE):
                         settled.append((doc_id, base | lo, n))
+                    elif base | lo != old[2]:
+                        # another text of the same id, at the same place: not later, but not this row either
+                        twins.append((to, doc_id, base | lo, n, context))
+                        held += len(context) + 200
                 if held >= LOCAL:
                     yield from flush()
                     held = 0
@@ -350,12 +347,13 @@ def _runs(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
 
 
 def _shards(length: int, shard: int):
-    """Rows sorted by deal, h1, h2, doc_id -> flags; contexts gather until a shard is full and its anchor ends."""
+    """Rows sorted by deal and doc_id -> flags; contexts gather until a shard is full and its anchor ends."""
 
     def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         # equal contexts are settled by comparing them whole; only anchors with different ones need an array
         first: dict[bytes, tuple[int, int, int]] = {}
         copies: list[tuple[int, int, int]] = []
+        twins: list[tuple[int, int, int, bytes]] = []
         for deal, doc, place, context in rows:
             old = first.get(context)
             if old is None:
@@ -365,8 +363,11 @@ def _shards(length: int, shard: int):
                 first[context] = (deal, doc, place)
             elif (doc, place & WHOLE) != (old[1], old[2] & WHOLE):
                 copies.append((doc, place, len(context)))
+            elif place != old[2]:
+                twins.append((deal, doc, place, context))
         kinds = Counter(x[0] for x in first.values())
         left = [(doc, place, context) for context, (deal, doc, place) in first.items() if kinds[deal] > 1]
+        left += [(doc, place, context) for deal, doc, place, context in twins if kinds[deal] > 1]
         doc_out, place_out = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         if copies:
             d, p, n = (np.array(x, dtype=np.int64) for x in zip(*copies))
@@ -388,24 +389,11 @@ def _shards(length: int, shard: int):
         return _runs(doc_out, place_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, last_deal, last = [], 0, None, None
+        rows, held, last_deal = [], 0, None
         for batch in batches:
-            known = batch["context"].is_null().to_numpy(zero_copy_only=False) & batch["h1"].is_null().to_numpy(zero_copy_only=False)
-            if known.any():
-                yield pa.RecordBatch.from_arrays([batch[n].filter(pa.array(known)) for n in FLAGS], FLAGS)
-            single = batch.filter(batch["h1"].is_valid())
-            doc_out, place_out = [], []
-            for h1, h2, doc, place in zip(*(single[n].to_pylist() for n in ("h1", "h2", "doc_id", "place"))):
-                # the smallest document comes first, but its windows in any order: the order is by place without the tag
-                key = (h1, h2)
-                if last and last[0] == key:
-                    if (doc, place & WHOLE) > last[1]:
-                        doc_out.append(doc)
-                        place_out.append(place)
-                else:
-                    last = (key, (doc, place & WHOLE))
-            if doc_out:
-                yield _runs(np.array(doc_out, dtype=np.int64), np.array(place_out, dtype=np.int64))
+            known = batch["context"].is_null()
+            if known.true_count:
+                yield pa.RecordBatch.from_arrays([batch[n].filter(known) for n in FLAGS], FLAGS)
             text = batch.filter(batch["context"].is_valid())
             for deal, doc, place, context in zip(*(text[n].to_pylist() for n in ("deal", "doc_id", "place", "context"))):
                 if deal != last_deal and held >= shard:
@@ -424,8 +412,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot
     """(doc_id, text) -> (doc_id, flags): starts of the strings of `length` bytes that also start earlier, as an array of
     (place, length): tag and first start, number of starts in a row; length 0 stands for the whole text.
 
-    An anchor that occurs more than `hot` times sends each of its windows to the task of the window's own 128-bit hash,
-    so that no shard holds a group that grows with the input. Copies of a context, and of a hot window, are settled
+    An anchor that occurs more than `hot` times sends each of its windows, bytes and all, to the task of the window's own
+    hash, so that no shard holds a group that grows with the input. Copies of a context, and of a hot window, are settled
     inside the task that reads them: at most one row for each task and text is dealt out."""
     d = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     same = d.groupBy(F.md5("text").alias("m"), F.crc32(F.col("text").cast("binary")).alias("tag"))
@@ -443,7 +431,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot
     grouped = durable(places.groupBy("doc_id").agg(F.collect_list(F.struct("place", "hot")).alias("places")), "suf-places")
     discard(feed, shared)
     found = d.join(grouped, "doc_id").mapInArrow(_contexts(length, k), ROWS)
-    order = ["deal", "h1", "h2", "doc_id", F.col("place").bitwiseAND(F.lit(WHOLE))]
+    order = ["deal", "doc_id", F.col("place").bitwiseAND(F.lit(WHOLE))]
     flags = found.repartition("deal").sortWithinPartitions(*order).mapInArrow(_shards(length, shard), "doc_id long, place long, length long")
     whole = copies.select("doc_id", "place", F.lit(0).cast("long").alias("length"))
     flags = flags.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "length")).alias("flags"))
