@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -27,6 +29,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Most tasks that read bundles.
+READERS = 100_000
 INDEX = "page_id long, record_type string, refers_to long, file string, frame int, frame_offset long, record_length long"
 RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
@@ -35,27 +39,42 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no body and names the length of the payload that it stands for."""
-    kind = "response" if refers_to is None else "revisit"
-    body = payload if refers_to is None else b""
+#: Date of records that are made without one.
+EPOCH = "1970-01-01T00:00:00Z"
+_UNSAFE = re.compile(r"[\x00-\x20\x7f]")
+
+
+def make_record(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = EPOCH, copy: str = "", refers_uri: str | None = None
+) -> bytes:
+    """One WARC/1.1 record whose block is an http response; that of a revisit ends with its headers, which name the length of
+    the payload that it stands for. copy tells records of one page apart; blanks and controls of a url are escaped."""
+    page = "" if page_id is None else page_id
+    uri = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url or "") or f"urn:page:{page}"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http + payload if refers_to is None else http
     head = [
         "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {' '.join((url or '').split())}",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{page}{copy}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
-        f"Content-Length: {len(body)}",
+        "Content-Type: application/http;msgtype=response",
+        f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head.insert(3, f"WARC-Refers-To: <urn:page:{refers_to}>")
-        head.insert(4, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        to = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", refers_uri or "") or f"urn:page:{refers_to}"
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To-Target-URI: {to}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}",
+        ]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, body) of each record of an unpacked frame."""
+    """(offset, length, headers, payload) of each record of an unpacked frame; the http header's length of the payload is
+    among the headers as Payload-Length."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -67,7 +86,11 @@ def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
         stop = start + int(head["Content-Length"])
         if data[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"record at {at} is cut short")
-        yield at, stop + 4 - at, head, data[start:stop]
+        body = data.index(b"\r\n\r\n", start, stop) + 4
+        for line in data[start:body].decode().split("\r\n"):
+            if line.startswith("Content-Length: "):
+                head["Payload-Length"] = line.removeprefix("Content-Length: ")
+        yield at, stop + 4 - at, head, data[body:stop]
         at = stop + 4
 
 
@@ -135,7 +158,7 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
-def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
+def _writer(folder: str, frame_bytes: int, bundle_bytes: int, date: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(folder)
         names = [f.split()[0] for f in INDEX.split(", ")]
@@ -143,18 +166,20 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
         # a repeated task writes files of its own; only those that the committed index names are read
         stem = f"part-{task.partitionId() if task else 0:05d}-{uuid.uuid4().hex}"
         sink = bundle = None
-        n_files = 0
+        n_files = n = 0
         for batch in batches:
             index = []
-            for page_id, url, payload, digest, refers_to in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
+            columns = ("page_id", "url", "payload", "digest", "refers_to", "refers_uri")
+            for page_id, url, payload, digest, refers_to, uri in zip(*(batch[c].to_pylist() for c in columns)):
                 if bundle is None:
                     name = f"{stem}-{n_files:04d}.warc.zst"
                     n_files += 1
                     fs.create_dir(path, recursive=True)
                     sink = fs.open_output_stream(f"{path}/{name}", compression=None)
                     bundle = BundleWriter(sink, frame_bytes)
-                raw = bytes.fromhex(digest)
-                place = bundle.append(make_record(page_id, url, payload, base64.b32encode(raw).decode(), refers_to))
+                n += 1
+                sha1 = base64.b32encode(bytes.fromhex(digest)).decode()
+                place = bundle.append(make_record(page_id, url, payload, sha1, refers_to, date, f":{stem}-{n}", uri))
                 index.append((page_id, "response" if refers_to is None else "revisit", refers_to, name, *place))
                 if bundle.total >= bundle_bytes:
                     bundle.close()
@@ -170,26 +195,31 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+def write_archives(
+    pages: DataFrame, folder: str, min_revisit_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, date: str | None = None
+) -> DataFrame:
     """pages (page_id, url, html) -> bundles in folder and their index, one row per record.
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of at least min_revisit_bytes bytes the one with
     the smallest page_id is a response, the others revisit it; rows that repeat that page_id are further responses. A
     null page_id is never referred to; such a row revisits if any row with an id has its payload. Payloads never move:
     only digests that occur more than once are shuffled and joined back, by broadcast where Spark finds them small
-    enough and by a skew-split sort-merge join beyond that. folder must be reachable from every executor."""
+    enough and by a skew-split sort-merge join beyond that. folder must be reachable from every executor. Records are dated
+    `date` (as 2024-05-01T12:00:00Z), without it the time of the call; each has an id of its own, repeated pages too."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     d = pages.select("page_id", "url", payload.alias("payload"))
     d = d.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
     again = durable(
         d.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("k")).where("k > 1 AND first_id IS NOT NULL").drop("k"),
+        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("k"), F.min_by("url", "page_id").alias("first_url"))
+        .where("k > 1 AND first_id IS NOT NULL").drop("k"),
         "warc-again",
     )
     d = d.join(again, "digest", "left")
     refers = F.when((F.col("bytes") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    d = d.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    return durable(d.mapInArrow(_writer(folder, frame_bytes, bundle_bytes), INDEX), "warc-index")
+    d = d.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), F.col("first_url").alias("refers_uri"))
+    return durable(d.mapInArrow(_writer(folder, frame_bytes, bundle_bytes, date), INDEX), "warc-index")
 
 
 def _reader(folder: str):
@@ -199,7 +229,7 @@ def _reader(folder: str):
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
         def number(urn: str) -> int | None:
-            return int(x) if (x := urn.removeprefix("<urn:page:").removesuffix(">")) else None
+            return int(x) if (x := urn.removeprefix("<urn:page:").split(":")[0].removesuffix(">")) else None
 
         for batch in batches:
             for file in batch["file"].to_pylist():
@@ -214,8 +244,7 @@ def _reader(folder: str):
                                 raise ValueError(f"payload of {head['WARC-Record-ID']} is damaged")
                             rows.append((
                                 number(head["WARC-Record-ID"]), head["WARC-Type"],
-                                None if response else number(head["WARC-Refers-To"]),
-                                len(body) if response else int(head["X-Payload-Length"]), digest,
+                                None if response else int(head["X-Refers-To-Page"]), int(head["Payload-Length"]), digest,
                             ))
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -223,9 +252,10 @@ def _reader(folder: str):
 
 
 def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """All records of the bundles that the index names, one row each; payload digests of responses are checked."""
-    files = index.select("file").distinct().repartition("file")
-    return files.mapInArrow(_reader(folder), RECORD)
+    """All records of the bundles that the index names, one row each; payload digests of responses are checked. Every bundle
+    is a task, up to READERS of them; with a number of its own the deal of file names is not coalesced."""
+    files = durable(index.select("file").distinct(), "warc-files")
+    return files.repartition(min(max(files.count(), 1), READERS)).mapInArrow(_reader(folder), RECORD)
 
 
 def read_record(folder: str, file: str, frame: int, offset: int, length: int) -> tuple[dict[str, str], bytes]:
