@@ -71,7 +71,11 @@ def longest_rule(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     table = spark.createDataFrame([(r.host, r.path, r.text, r.verdict, n) for n, r in enumerate(ordered)], "rh string, rp string, t string, v string, n int")
     places = df.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # the parents of a host that can have a rule: those of as many labels as some rule's host
+    depths = F.array(*(F.lit(n) for n in sorted({r.host.count(".") + 1 for r in rules})))
+    parents = F.transform(
+        F.filter(depths, lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")
+    )
     best = (
         places.withColumn("rh", F.explode(parents)).join(table, "rh").where(F.startswith("path", "rp"))
         .groupBy("host", "path").agg(F.min(F.struct("n", "t", "v")).alias("m"))
@@ -110,15 +114,28 @@ def resolve(base: Column, ref: Column) -> Column:
     return F.when((site != "") & (ref != "") & (start != ""), out)
 
 
+# Character references of html that occur in urls; & itself last, so that nothing is read twice.
+REFERENCES = (
+    (r"(?i)&(?:lt|#0*60|#x0*3c);", "<"), (r"(?i)&(?:gt|#0*62|#x0*3e);", ">"), (r"(?i)&(?:quot|#0*34|#x0*22);", '"'),
+    (r"(?i)&(?:apos|#0*39|#x0*27);", "'"), (r"(?i)&(?:sol|#0*47|#x0*2f);", "/"), (r"(?i)&(?:colon|#0*58|#x0*3a);", ":"),
+    (r"(?i)&(?:amp|#0*38|#x0*26);", "&"),
+)
+
+
+def unescape_html(s: Column) -> Column:
+    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), REFERENCES, s)
+
+
 def page_aliases(pages: DataFrame) -> DataFrame:
     """Edges (a, b) between a page's url and what it says stands for it: all canonical links and refreshes of its html,
-    relative ones read from the page's url. Absolute targets count for any url."""
+    relative ones read from the page's url, character references resolved. Absolute targets count for any url."""
     tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
     links = tags(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
     metas = tags(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
     href = F.transform(links, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     to = F.transform(metas, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     found = pages.where("url IS NOT NULL AND html IS NOT NULL").select(F.col("url").alias("a"), F.explode(F.concat(href, to)).alias("r"))
+    found = found.withColumn("r", unescape_html(F.col("r")))
     absolute = F.when(F.col("r").rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), F.col("r"))
     found = found.where("r <> ''").select("a", F.coalesce(resolve(F.col("a"), F.col("r")), absolute).alias("b"))
     return found.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))

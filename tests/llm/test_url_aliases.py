@@ -26,3 +26,20 @@ def test_hosts_of_many_labels_keep_their_parents(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "MAX_INLINE_RULES", 1)
     got = judged(spark, [page(1, "x://" + "a." * 200 + "bad.org/"), page(2, "x://" + "a." * 200 + "good.org/")], RULES)
     assert [got[i]["verdict"] for i in (1, 2)] == ["block", "allow"]
+
+
+def test_the_number_of_rules_changes_nothing(spark):
+    host = ".".join(f"h{i}" for i in range(129)) + ".com"
+    rows = [page(1, f"x://{host}/de/1"), page(2, "x://a.b.net/z"), page(3, "x://com/de/2"), page(4, "x://example.org/es/1"), page(5, "x://localhost/de/")]
+    few = (urlfilter.Rule("block", "com", "/"), urlfilter.Rule("allow", "com", "/de/2"), urlfilter.Rule("block", "b.net", ""), urlfilter.Rule("block", "example.org", "/es/"), urlfilter.Rule("allow", "org", "/"), urlfilter.Rule("block", "h1.com", "/"))
+    many = few + tuple(urlfilter.Rule("block", f"x{i}.y.z{i}.info", "/") for i in range(246))
+    one, two = judged(spark, rows, few), judged(spark, rows, many)
+    assert {i: (r["rule"], r["verdict"]) for i, r in one.items()} == {i: (r["rule"], r["verdict"]) for i, r in two.items()}
+    assert one[1]["verdict"] == "block" and one[1]["rule"] == "com/" and one[3]["verdict"] == "allow"
+
+
+def test_references_of_links_are_resolved(spark):
+    rows = [page(1, "x://a.net/", '<link rel=canonical href="x:&#47;&#x2F;bad.com/?a=1&amp;b=2">'), page(2, "x://c.net/", '<link rel="canonical" href="x://d.net/?q=1&amp;amp;r">')]
+    assert judged(spark, rows)[1]["verdict"] == "block"
+    edges = urlfilter.page_aliases(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["b"] for r in edges} == {"x://bad.com/?a=1&b=2", "x://d.net/?q=1&amp;r"}
