@@ -15,10 +15,12 @@ from .common import durable
 @dataclass(frozen=True)
 class RouterParams:
     """sample bounds the vectors that the graph and the classifier are made from, and so the driver's memory; every row
-    is indexed. chunk bounds the rows of either side that one task compares at once."""
+    is indexed. There is a part for every part_rows rows, at least `parts`, as long as the sample has 64 rows for each.
+    chunk bounds the rows of either side that one task compares at once."""
 
     sample: int = 8_192
     parts: int = 16
+    part_rows: int = 4_096
     graph_k: int = 10
     slack: float = 1.05
     rounds: int = 8
@@ -65,6 +67,14 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def in_range(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor vanish; cosines stay the same to the last bit."""
+    if not x.size:
+        return x
+    _, e = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -e[:, None])
+
+
 def neighbour_graph(unit: np.ndarray, k: int) -> np.ndarray:
     """Places of the k nearest other rows of each row."""
     n = len(unit)
@@ -128,11 +138,11 @@ def balanced_partition(graph: np.ndarray, parts: int, slack: float, rounds: int,
     return label
 
 
-def fit_router(unit: np.ndarray, p: RouterParams = RouterParams()) -> Router:
-    """Graph, balanced partition and classifier of unit rows; the classifier learns how a row's neighbours spread over
-    the parts. The number of probes is the least that reaches p.recall among the rows' own nearest five."""
+def fit_router(unit: np.ndarray, p: RouterParams = RouterParams(), rows: int = 0) -> Router:
+    """Graph, balanced partition and classifier of unit rows, a sample of `rows` rows; the classifier learns how a row's
+    neighbours spread over the parts. The number of probes is the least that reaches p.recall among the rows' own nearest five."""
     n, d = unit.shape if unit.size else (0, 1)
-    parts = max(1, min(p.parts, n // 64))
+    parts = max(1, min(max(p.parts, rows // p.part_rows), n // 64))
     rng = np.random.default_rng(p.seed)
     if parts == 1:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
@@ -193,6 +203,7 @@ def best_of(queries: np.ndarray, ids: np.ndarray, base: np.ndarray, base_ids: np
     A matrix product finds who can be among the nearest; their cosines are then taken row by row in one order of
     summation, so that equal vectors get equal scores wherever they are compared."""
     found = [[], [], []]
+    queries, base = in_range(queries), in_range(base)
     nb = np.sqrt((base * base).sum(axis=1))
     nq = np.sqrt((queries * queries).sum(axis=1))
     for at in range(0, len(queries), 256):
@@ -221,7 +232,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: RouterPar
     double precision among the vectors with another id in the partitions it is routed to.
 
     Vectors that are null, zero or hold nulls or non-finite numbers take no part, nor do null ids and vectors whose
-    length is not the commonest. Repeated rows are candidates of their own. Fewer candidates than k give fewer rows.
+    length is not the commonest. Repeated rows of vectors are candidates of their own; repeated queries are asked once, and
+    queries of one id with different vectors each get their own ranks. Fewer candidates than k give fewer rows.
     Partitions are compared in blocks of at most params.chunk vectors and queries, so that a partition with a third of
     all rows is many tasks."""
     spark = vectors.sparkSession
@@ -231,10 +243,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: RouterPar
     if size is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fine = fine.where(F.size("embedding") == size["d"])
-    ask = queries.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable() & (F.size("embedding") == size["d"]))
+    ask = queries.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable() & (F.size("embedding") == size["d"])).distinct()
     sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("embedding").toArrow()
     column = sample.column("embedding").combine_chunks()
-    router = spark.sparkContext.broadcast(fit_router(unit_rows(_matrix(column)), p))
+    router = spark.sparkContext.broadcast(fit_router(unit_rows(_matrix(column)), p, size["count"]))
     shape = vectors.schema["embedding"].dataType.simpleString()
     shape = f"vec_id long, embedding {shape}, part int"
     base = durable(fine.mapInArrow(_assign(router, 1), shape), "ann-base")
@@ -252,16 +264,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: RouterPar
     both = {x for x in n_base if x in n_ask}
     base = dealt(base.where(F.col("part").isin(*both) if both else F.lit(False)), n_base, n_ask, "bb", "qb")
     probe = dealt(probe.where(F.col("part").isin(*both) if both else F.lit(False)), n_ask, n_base, "qb", "bb")
+    probe = probe.withColumn("asked", F.xxhash64("embedding"))
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
             q, b = (_matrix(t.column("embedding").combine_chunks()) for t in (right, left))
             ids = right.column("vec_id").to_numpy()
             at, vec, score = best_of(q, ids, b, left.column("vec_id").to_numpy(), k)
-            return pa.table({"query_id": ids[at], "vec_id": vec, "score": score})
-        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": ids[at], "asked": right.column("asked").to_numpy()[at], "vec_id": vec, "score": score})
+        none = pa.array([], pa.int64())
+        return pa.table({"query_id": none, "asked": none, "vec_id": none, "score": pa.array([], pa.float64())})
 
     cell = ["part", "bb", "qb"]
-    found = base.groupBy(*cell).cogroup(probe.groupBy(*cell)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = base.groupBy(*cell).cogroup(probe.groupBy(*cell)).applyInArrow(compare, "query_id long, asked long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
