@@ -2,13 +2,18 @@
 
 Numbers, quantities with units and names become typed placeholders; five-token windows of these templates are hash-joined
 with those of the benchmark; the values behind the placeholders must map consistently, so that a question with other
-numbers or names is caught while chance matches of templates are not."""
+numbers or names is caught while chance matches of templates are not.
+
+Letter case is only a hint at a name, so every text is read three ways: with capitalised words inside sentences as names,
+with those that open a sentence as names too, and without names. Tokens are lower-cased, so the third reading finds an
+item in any letter case, with other numbers too, and the second one items whose sentences begin with names."""
 
 from __future__ import annotations
 
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,7 @@ BROADCAST_WINDOWS = 2_000_000
 #: Word types that a task remembers.
 CACHE = 250_000
 
-# Words that are numbers, units that make a number a quantity, names known without a capital's help.
+# Words that are numbers, units that make a number a quantity, names that are known where a sentence opens.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
     "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split()
@@ -115,8 +120,8 @@ class Canonical:
     def __init__(self):
         self.words = _Words()
 
-    def tokens(self, text: bytes) -> tuple[np.ndarray, list[str]]:
-        """Hashes of the template tokens and their surfaces: '' unless it is a placeholder, [] if none is."""
+    def read(self, text: bytes) -> "Reading":
+        """The words of a text that are not mere marks, with what each can be."""
         if len(self.words) > CACHE:
             self.words = _Words()
         w = self.words
@@ -132,37 +137,89 @@ class Canonical:
             ends = _before(np.cumsum(end), 0)[has]
             opens = ends != _before(ends, -1)
             kind, hashes, ids = kind[has], hashes[has], ids[has]
-        if not (kind & (NUM | QTY | NAME)).any() and not ((kind & CAPITAL != 0) & ~opens).any():
-            return hashes, []
-        number = kind & NUM != 0
-        name = (kind & NAME != 0) | ((kind & CAPITAL != 0) & ~opens)
-        unit = (kind & UNIT != 0) & _before(number, False)
-        quantity = (kind & QTY != 0) | (number & _before(unit[::-1], False)[::-1])
-        slot = np.where(quantity, QTY, np.where(number, NUM, np.where(name & ~unit, NAME, 0)))
-        follows = (slot == NAME) & (_before(slot, 0) == NAME)
-        keep = ~unit & ~follows
-        tokens = hashes.copy()
-        for k, h in _HOLD.items():
-            tokens[slot == k] = h
-        # units and further words of a name are part of the value of the token before
-        values: list[str] = []
-        for s, u, f, i in zip(slot.tolist(), unit.tolist(), follows.tolist(), ids.tolist()):
-            if u or f:
-                values[-1] += " " + w.surface[i]
-            else:
-                values.append(w.surface[i] if s else "")
-        return tokens[keep], values
+        return Reading(w.surface, ids, kind, hashes, opens)
 
-    def windows(self, text: bytes) -> tuple[np.ndarray, list[str]]:
-        """Hash of every WIDTH consecutive tokens, and the tokens' surfaces (empty list: no placeholder)."""
-        tokens, surfaces = self.tokens(text)
-        return W.mix(W.grams(tokens, WIDTH, W.BASE_A)), surfaces
 
+class Reading:
+    """A text's words and the three ways to read which of them are names."""
 
-WINDOWS = "hash long, id long, tag long, place int, slots array<string>"
+    def __init__(self, surface: list[str], ids: np.ndarray, kind: np.ndarray, hashes: np.ndarray, opens: np.ndarray):
+        self.surface, self.ids, self.hashes = surface, ids, hashes
+        self.number = kind & NUM != 0
+        self.unit = (kind & UNIT != 0) & _before(self.number, False)
+        self.quantity = (kind & QTY != 0) | (self.number & _before(self.unit[::-1], False)[::-1])
+        capital, known = (kind & CAPITAL != 0) & ~self.unit, (kind & NAME != 0) & ~self.unit
+        self.names = [known | (capital & ~opens), known | capital, np.zeros(len(ids), dtype=bool)]
 
+    def windows(self, way: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first word, word behind the last, whether it counts verbatim) of every `width` tokens, read in one way.
+
+        A window with fewer than two words that aren't placeholders says little; it is hashed as it stands."""
+        name = self.names[way]
+        slot = np.where(self.quantity, QTY, np.where(self.number, NUM, np.where(name, NAME, 0)))
+        # units and further words of a name are part of the value of the token before
+        at = np.flatnonzero(~self.unit & ~((slot == NAME) & (_before(slot, 0) == NAME)))
+        if len(at) < width:
+            none = np.empty(0, dtype=np.int64)
+            return none.astype(np.uint64), none, none, none.astype(bool)
+        raw, slot = self.hashes[at], slot[at]
+        tokens = raw.copy()
+        for k, h in _HOLD.items():
+            tokens[slot == k] = h
+        h = W.mix(W.grams(tokens, width, W.BASE_A) ^ np.uint64(width))
+        plain = np.r_[0, np.cumsum(slot == 0)]
+        verbatim = plain[width:] - plain[:-width] < 2
+        if verbatim.any():
+            h = np.where(verbatim, W.mix(W.grams(raw, width, W.BASE_B) ^ np.uint64(width)), h)
+        edge = np.r_[at, len(self.ids)]
+        return h, at[: len(h)], edge[width:], verbatim
+
+    def values(self, way: int, lo: int, hi: int) -> list[str]:
+        """What stands behind the placeholders of a window."""
+        out, name, was = [], self.names[way], False
+        for i in range(lo, hi):
+            if self.unit[i] or (name[i] and was):
+                if out:
+                    out[-1] += " " + self.surface[self.ids[i]]
+            elif self.number[i] or self.quantity[i] or name[i]:
+                out.append(self.surface[self.ids[i]])
+            was = bool(name[i]) and not (self.number[i] or self.quantity[i])
+        return out
+
+
+WINDOWS = "hash long, id long, tag long, way int, width int, at int, place int, words int, slots array<string>"
+_NAMES = [c.split()[0] for c in WINDOWS.split(", ")]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _NAMES)
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) -> all windows under each reading; an item of fewer tokens than a window is one window."""
+    canonical = Canonical()
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch["item_id"].to_pylist(), batch["text"].cast(pa.binary())):
+            text = text.as_py()
+            if key is None or not text:
+                continue
+            r = canonical.read(text)
+            for way in range(3):
+                for width in range(WIDTH, 0, -1):
+                    h, first, last, verbatim = r.windows(way, width)
+                    if len(h):
+                        break
+                for at, (x, lo, hi, v) in enumerate(zip(h.view(np.int64).tolist(), first.tolist(), last.tolist(), verbatim.tolist())):
+                    rows.append((x, key, 0, way, width, at, lo, len(r.ids), [] if v else r.values(way, lo, hi)))
+        if rows:
+            yield _batch(rows)
+
+
+def _found_windows(widths: list[int], thin):
+    """(doc_id, text) -> windows of the given widths; of a later reading only those that differ from the first."""
 
-def _template_windows(id_name: str, thin):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = thin.value if thin else None
         if known is not None:
@@ -172,29 +229,77 @@ def _template_windows(id_name: str, thin):
             bitmap[known & low] = True
         canonical = Canonical()
         for batch in batches:
-            hashes, ids, tags, places, slots = [], [], [], [], []
-            for key, text in zip(batch[id_name].to_pylist(), batch["text"].cast(pa.binary())):
+            rows = []
+            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary())):
                 text = text.as_py()
                 if key is None or not text:
                     continue
-                h, surfaces = canonical.windows(text)
-                at = np.arange(len(h))
-                if known is not None:
-                    at = np.flatnonzero(bitmap[h & low])
-                    if len(at):
-                        at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
-                if not len(at):
-                    continue
-                hashes.append(h[at].view(np.int64))
-                ids.append(np.full(len(at), key, dtype=np.int64))
-                tags.append(np.full(len(at), zlib.crc32(text), dtype=np.int64))
-                places.append(at.astype(np.int32))
-                slots += [[s for s in surfaces[i : i + WIDTH] if s] for i in at.tolist()]
-            if hashes:
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.concatenate(x)) for x in (hashes, ids, tags, places)), pa.array(slots, pa.list_(pa.string()))],
-                    ["hash", "id", "tag", "place", "slots"],
-                )
+                r = canonical.read(text)
+                tag = zlib.crc32(text)
+                for way in range(3):
+                    changed = r.names[way] != r.names[0]
+                    if way and not changed.any():
+                        continue
+                    sums = np.r_[0, np.cumsum(changed)]
+                    for width in widths:
+                        h, first, last, verbatim = r.windows(way, width)
+                        at = np.arange(len(h))
+                        if way:
+                            at = np.flatnonzero(sums[last] > sums[first])
+                        if known is not None:
+                            at = at[bitmap[h[at] & low]]
+                            if len(at):
+                                at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
+                        for x, lo, hi, v in zip(h[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist(), verbatim[at].tolist()):
+                            rows.append((x, key, tag, way, width, 0, lo, 0, [] if v else r.values(way, lo, hi)))
+            if rows:
+                yield _batch(rows)
+
+    return run
+
+
+KEY = ["id", "tag", "item_id", "way", "stretch"]
+
+
+def _judge(share: float):
+    """Windows found by document, item, reading and stretch -> the items that are held there. A value of the item stands
+    for the value it meets most often, and the other way round; windows that disagree don't count."""
+
+    def settle(key: tuple, n: int, rows: list[tuple]) -> tuple | None:
+        if len({at for at, _ in rows}) < share * n:
+            return None
+        met = Counter(p for _, pairs in rows for p in pairs)
+        there: dict[str, str] = {}
+        back: dict[str, str] = {}
+        for (b, d), _ in sorted(met.items(), key=lambda x: (-x[1], x[0])):
+            there.setdefault(b, d)
+            back.setdefault(d, b)
+        rows = [(at, pairs) for at, pairs in rows if all(there[b] == d and back[d] == b for b, d in pairs)]
+        coverage = len({at for at, _ in rows}) / n
+        if coverage < share:
+            return None
+        return key[0], key[2], coverage, all(b == d for _, pairs in rows for b, d in pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, rows = None, 0, []
+
+        def out(done: list) -> Iterator[pa.RecordBatch]:
+            done = [x for x in done if x]
+            if done:
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], ["doc_id", "item_id", "coverage", "same"])
+
+        for batch in batches:
+            done = []
+            for *key, size, at, slots, values in zip(*(batch[c].to_pylist() for c in (*KEY, "n", "at", "slots", "item_slots"))):
+                if key != last:
+                    if last:
+                        done.append(settle(tuple(last), n, rows))
+                    last, n, rows = key, size, []
+                rows.append((at, list(zip(values, slots))))
+            yield from out(done)
+        if last:
+            yield from out([settle(tuple(last), n, rows)])
 
     return run
 
@@ -203,40 +308,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     """docs (doc_id, text), benchmark (item_id, text) -> one row per document and item that it holds: doc_id, item_id,
     coverage (share of the item's windows found together), reparameterised (whether any value differs).
 
-    An item is held if at least `share` of its template windows lie within a stretch of the document of at most twice its
-    length, counting only alignments in which every value of the item stands for one value of the document and the other
-    way round. Items of fewer than WIDTH tokens have no window and match nothing; so do null ids and null or empty
-    texts. Repeated items are told apart by nothing and count as one; rows that repeat a doc_id give one row at most.
+    An item is held if, in one of the three readings, at least `share` of its template windows lie within a stretch of the
+    document of at most twice its length, counting only windows whose values fit the mapping of most: every value of the item
+    for one value of the document and the other way round. An item of fewer than WIDTH tokens is one window. Windows with
+    fewer than two plain words count verbatim only. Null ids and null or empty texts match nothing. Repeated items are
+    told apart by nothing and count as one; rows that repeat a doc_id give one row at most.
 
     Documents are read once. While the benchmark has at most BROADCAST_WINDOWS windows, which is counted, its hashes
     thin out the documents' windows in the scan; the join is an equi-join on the hash either way, and everything grouped
     is bounded by the length of an item."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").mapInArrow(_template_windows("item_id", None), WINDOWS)
-    items = durable(items.select("hash", F.col("id").alias("item_id"), F.col("place").alias("at"), F.col("slots").alias("item_slots")), "dec-items")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("at").alias("n"))
-    n = items.count()
+    items = benchmark.select("item_id", "text").mapInArrow(_item_windows, WINDOWS)
+    items = durable(items.select("hash", F.col("id").alias("item_id"), "way", "width", "at", "words", F.col("slots").alias("item_slots")), "dec-items")
+    sizes = items.groupBy("item_id", "way").agg(F.countDistinct("at").alias("n"))
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # WIDTH of them at most
     thin = None
-    if n <= BROADCAST_WINDOWS:
-        known = np.array([r[0] for r in items.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)
+    if items.count() <= BROADCAST_WINDOWS:
+        known = items.select("hash").distinct().toArrow()["hash"].to_numpy().view(np.uint64)
         thin = spark.sparkContext.broadcast(np.sort(known))
-    found = docs.select("doc_id", "text").mapInArrow(_template_windows("doc_id", thin), WINDOWS)
-    met = durable(found, "dec-found").join(items, "hash").join(sizes, "item_id").where(F.size("slots") == F.size("item_slots"))
-    # stretches of twice the item's windows, at two offsets: whatever fits in one length lies whole in one of them
-    half = F.floor(F.col("place") / F.col("n"))
+    found = docs.select("doc_id", "text").mapInArrow(_found_windows(widths, thin), WINDOWS)
+    found = durable(found.select("hash", "id", "tag", "place", "slots"), "dec-found")
+    met = found.join(items.drop("width"), "hash").join(sizes, ["item_id", "way"]).where(F.size("slots") == F.size("item_slots"))
+    # stretches of twice the item's words, at two offsets: whatever fits in one length lies whole in one of them
+    half = F.floor(F.col("place") / F.col("words"))
     met = met.withColumn("stretch", F.explode(F.array(half, half - 1)))
-    pairs = F.transform("slots", lambda d, i: F.struct(F.get("item_slots", i).alias("b"), d.alias("d")))
-    line = met.groupBy("id", "tag", "item_id", "n", "stretch", (F.col("place") - F.col("at")).alias("shift")).agg(
-        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    count = lambda field: F.size(F.array_distinct(F.transform("pairs", lambda p: p[field])))
-    line = line.where((F.size("pairs") == count("b")) & (F.size("pairs") == count("d")))
-    other = F.exists("pairs", lambda p: p["b"] != p["d"])
-    held = line.groupBy("id", "tag", "item_id", "n", "stretch").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("k"), F.max(other).alias("other")
-    )
-    held = held.withColumn("coverage", F.col("k") / F.col("n")).where(F.col("coverage") >= share)
-    best = held.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max(F.struct("coverage", (~F.col("other")).alias("same"))).alias("m"))
+    met = met.select(*KEY, F.col("n").cast("int").alias("n"), "at", "slots", "item_slots").repartition(*KEY).sortWithinPartitions(*KEY)
+    held = met.mapInArrow(_judge(share), "doc_id long, item_id long, coverage double, same boolean")
+    best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "same")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.coverage").alias("coverage"), (~F.col("m.same")).alias("reparameterised"))
 
 
