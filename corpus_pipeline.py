@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of documents with 0.8 or more of their five-word shingles in common.
 
-    SimHash can't find these: at 0.8 fingerprints differ in about 10 of 64 bits, more than blocks of bits can prune."""
+    Candidates come from the Gray-order index over 256-bit SimHash fingerprints; 64 bits tell too little at 0.8, where about
+    10 of them differ. What is linked is checked exactly."""
     return nearcopies.representatives(docs)
 
 
