@@ -58,6 +58,15 @@ def gather(edges: DataFrame, x: DataFrame, self_weights: DataFrame | None = None
     return combine(rows, "vid", "feat", width, how)
 
 
+def neighbour_sum(edges: DataFrame, x: DataFrame, width: int, backward: bool = False, name: str = "feat") -> DataFrame:
+    """(vid, name): plain sum of the rows at the other ends of a vertex's edges, a row of zeros where it has none. Edges
+    carry no weight, so their rows go into the aggregate as they are."""
+    e = reverse(edges.select("src", "dst")) if backward else edges.select("src", "dst")
+    rows = edge_rows(e, x).select(F.col("dst").alias("vid"), "feat")
+    none = x.select("vid", F.array(*(F.lit(0.0) for _ in range(width))).alias("feat"))
+    return combine(rows.unionByName(none), "vid", "feat", width, name=name)
+
+
 def attention_gather(scored: DataFrame, z: DataFrame, width: int | None = None) -> DataFrame:
     """ah[v] = z[v] + sum over incoming edges of a z[src]; scored (src, dst, a)."""
     width = width or width_of(z)

@@ -62,6 +62,32 @@ def gat_scores(edges: DataFrame, z: DataFrame, a: np.ndarray, slope: float = A.L
     return scored.withColumn("a", A.leaky(F.col("az"), slope))
 
 
+def _scores(z: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score of every row as a column, and its slope."""
+    az = z @ a
+    return np.where(az > 0, az, az * A.LEAKY_SLOPE)[:, None], np.where(az > 0, 1.0, A.LEAKY_SLOPE)[:, None]
+
+
+def gat_rows(z: np.ndarray, s: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """ah = z + a s, where s is the sum of the sources' rows: a destination's score leaves the sum over its edges."""
+    return z + _scores(z, a)[0] * s
+
+
+def gat_push(z: np.ndarray, grad: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """What a destination gives back to each of its sources."""
+    return _scores(z, a)[0] * grad
+
+
+def gat_rows_backward(z: np.ndarray, s: np.ndarray, grad: np.ndarray, u: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """grad + u + da s: u the sum of what the destinations push back, da the gradient of the row's own score."""
+    return grad + u + _scores(z, a)[1] * (grad @ a)[:, None] * s
+
+
+def gat_slopes(z: np.ndarray, grad: np.ndarray, degree: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Slope times in-degree times grad; with z'z its column sums give the gradient of the attention vector."""
+    return _scores(z, a)[1] * degree[:, None] * grad
+
+
 def neighbour_softmax(scored: DataFrame) -> DataFrame:
     """Optional: a normalized over the incoming edges of each destination, two grouped values joined back."""
     top = scored.groupBy("dst").agg(F.max("a").alias("_top"))

@@ -11,8 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import dense, evaluate, layers
-from ..operators.construct import cluster, normalize
-from ..operators.gather import gather
+from ..operators.construct import cluster, in_degree, normalize
+from ..operators.gather import gather, neighbour_sum
 from ..operators.parameters import Adam, Convergence, State, gat_parameters, gcn_parameters
 from .graph import Graph
 from .planner import plan_gcn
@@ -207,18 +207,92 @@ class GcnTrainer:
 
 class GatTrainer:
     """Full-graph training of the attention model: destination-only leaky scores, no activation between layers, the
-    prediction step taken on the gathered rows of the last layer over all vertices."""
+    prediction step taken on the gathered rows of the last layer over all vertices.
+
+    As a score belongs to a destination it leaves the sum over its edges: a layer is one unweighted gather forward and
+    one back, and everything between them is one pass over the vertices. neighbour_softmax keeps scores on the edges."""
 
     def __init__(self, graph: Graph, options: Options):
         self.graph, self.options = graph, options
         self.edges = cluster(graph.edges, "src").persist(_LEVEL)
+        self.edges_back = self.edges if options.neighbour_softmax else cluster(graph.edges, "dst").persist(_LEVEL)
         self.labels = split_labels(graph, options.chunks).persist(_LEVEL)
+        degree = in_degree(graph.vertices, graph.edges, "degree").withColumn("degree", F.col("degree").cast("double"))
+        self.known = self.labels.join(degree, "vid").persist(_LEVEL)
+        self.features = graph.features().persist(_LEVEL)
 
     def close(self) -> None:
-        self.edges.unpersist()
-        self.labels.unpersist()
+        for df in (self.edges, self.edges_back, self.labels, self.known, self.features):
+            df.unpersist()
 
     def epoch(self, p: list[dict[str, np.ndarray]]) -> tuple[list[dict[str, np.ndarray]], dict]:
+        if self.options.neighbour_softmax:
+            return self._weighted_epoch(p)
+        sizes, held, top = self.options.sizes, [], len(p) - 1
+
+        def hold(df):
+            held.append(df.persist(_LEVEL))
+            return df
+
+        def feat(df, name):
+            return df.select("vid", F.col(name).alias("feat"))
+
+        # row k of a vertex: z{k}, the sum s{k} of its sources, h{k} what the layer's product saw
+        rows = hold(dense.map_rows(self.features, lambda x, w=p[0]["w"]: {"z0": x @ w}, ["feat"], ["z0"], ["vid"]))
+        for k, q in enumerate(p):
+            near = neighbour_sum(self.edges, feat(rows, f"z{k}"), sizes[k + 1], name=f"s{k}")
+            both = rows.join(near, "vid")
+            if k == top:
+                break
+
+            def forward(z, s, a=q["a_i"], w=p[k + 1]["w"], k=k):
+                h = layers.gat_rows(z, s, a)
+                return {f"h{k + 1}": h, f"z{k + 1}": h @ w}
+
+            rows = hold(dense.map_rows(both, forward, [f"z{k}", f"s{k}"], [f"h{k + 1}", f"z{k + 1}"], both.columns))
+
+        def predict(z, s, label, a=p[top]["a_i"]):
+            probability = layers._softmax(layers.gat_rows(z, s, a))
+            g = probability.copy()
+            g[np.arange(len(g)), label.astype(np.int64)] -= 1
+            return {"p": probability, "g": g, "q": layers.gat_push(z, g, a)}
+
+        both = both.join(self.known, "vid")
+        rows = hold(dense.map_rows(both, predict, [f"z{top}", f"s{top}", "label"], ["p", "g", "q"], both.columns))
+        m = evaluate.evaluation(evaluate.score_rows(rows.select("label", "split", "p"))).first()
+        grads: list[dict[str, np.ndarray]] = [{} for _ in p]
+        for k in range(top, -1, -1):
+            a = p[k]["a_i"]
+            back = neighbour_sum(self.edges_back, feat(rows, "q"), sizes[k + 1], backward=True, name="u")
+            rows = rows.join(back, "vid")
+            if k:
+                keep = ["vid", "degree", "g", f"z{k}", *(f"{c}{i}" for i in range(k) for c in "zs"), *(f"h{i}" for i in range(1, k + 1))]
+
+                def lower(z, s, g, u, z_below, a=a, w=p[k]["w"], a_below=p[k - 1]["a_i"]):
+                    atg = layers.gat_rows_backward(z, s, g, u, a)
+                    below = atg @ w.T
+                    return {"atg": atg, "below": below, "q": layers.gat_push(z_below, below, a_below)}
+
+                rows = hold(dense.map_rows(rows, lower, [f"z{k}", f"s{k}", "g", "u", f"z{k - 1}"], ["atg", "below", "q"], keep))
+
+                def pairs(h, atg, z, g, degree, a=a):
+                    return {0: (h, atg), 1: (z, z), 2: (np.ones((len(g), 1)), layers.gat_slopes(z, g, degree, a))}
+
+                got = dense.gram_sums(rows, [f"h{k}", "atg", f"z{k}", "g", "degree"], pairs)
+                rows = rows.drop("g").withColumnRenamed("below", "g")
+            else:
+
+                def pairs(h, z, s, g, u, degree, a=a):
+                    return {0: (h, layers.gat_rows_backward(z, s, g, u, a)), 1: (z, z), 2: (np.ones((len(g), 1)), layers.gat_slopes(z, g, degree, a))}
+
+                got = dense.gram_sums(rows.join(self.features, "vid"), ["feat", "z0", "s0", "g", "u", "degree"], pairs)
+            grads[k] = {"w": got[0], "a_i": got[1] @ got[2][0]}
+        for df in held:
+            df.unpersist()
+        return grads, {"n": m["n"], "acc": m["acc"], "loss": m["loss"]}
+
+    def _weighted_epoch(self, p: list[dict[str, np.ndarray]]) -> tuple[list[dict[str, np.ndarray]], dict]:
+        """Scores normalized over the edges of a destination differ from edge to edge, so each gather carries them."""
         sizes, held = self.options.sizes, []
 
         def hold(df):
