@@ -27,15 +27,15 @@ def gcn_hidden(ah: DataFrame, w: np.ndarray) -> DataFrame:
     return map_rows(ah, step, ["feat"], ["z", "h"], ["vid"])
 
 
-def gcn_output(ah: DataFrame, labels: DataFrame, w: np.ndarray, n_total: int) -> DataFrame:
+def gcn_output(ah: DataFrame, labels: DataFrame, w: np.ndarray, n_total: int, multiplied: bool = False) -> DataFrame:
     """The last layer with its backward step: (vid, feat) and (vid, label, split) -> vid, label, split, ah, p, d, grad.
 
     p = softmax(ah W); d = (p - y) / (0.66 n_total) on training rows, else 0; grad = d W'. The gradient of W is
-    gram(ah, d)."""
+    gram(ah, d). multiplied: the rows went through W before they were gathered."""
     rows = ah.join(labels, "vid").withColumn("train", (F.col("split") == "train").cast("double"))
 
     def step(a, label, train):
-        p = _softmax(a @ w)
+        p = _softmax(a if multiplied else a @ w)
         d = p.copy()
         d[np.arange(len(d)), label.astype(np.int64)] -= 1
         d *= (train / (n_total * SHARE))[:, None]

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as A
 from ..operators import construct as B, costs as L, dense as D, evaluate as G, layers as Y, sampling as K
 from ..operators.gather import (
-    attention_gather, attention_gather_backward, column_sum, edge_rows, expand_dot, expand_hadamard, gather, graph_convolution, outer_product_sum,
+    attention_gather, attention_gather_backward, column_sum, edge_rows, expand_dot, expand_hadamard, gather, graph_convolution, neighbour_sum,
+    outer_product_sum,
 )
 from ..operators.parameters import gcn_parameters, kaiming, xavier
 from ..session import scratch_path
@@ -622,11 +624,38 @@ def _labels(g: Graph) -> DataFrame:
     return g.vertices.select("vid", "label").join(split.select("vid", "split"), "vid")
 
 
-def _output(g: Graph, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    e, own, ah = _ah(g)
-    first = Y.gcn_hidden(ah, W0)
-    ah1 = gather(e, first.select("vid", F.col("h").alias("feat")), own, width=16)
-    return e, own, first, Y.gcn_output(ah1, _labels(g), W1, n)
+_SHARED: list[DataFrame] = []
+
+
+def _shared(df: DataFrame) -> DataFrame:
+    """Kept for a query that reads it in several places; let go when the next such query is described."""
+    _SHARED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def _release() -> None:
+    while _SHARED:
+        _SHARED.pop().unpersist()
+
+
+def _output(g: Graph, n: int) -> DataFrame:
+    """Rows of the last layer with the gathered features that its weights' gradient needs."""
+    _release()
+    e, own = normed(g)
+    e, own = _shared(e), _shared(own)
+    h = Y.gcn_hidden(gather(e, g.features(), own, width=64), W0).select("vid", F.col("h").alias("feat"))
+    return Y.gcn_output(gather(e, h, own, width=16), _labels(g), W1, n)
+
+
+def _narrow_output(g: Graph, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges, self weights, (vid, z) of the first layer and the last layer's rows; every product comes before its gather,
+    so that 16 and 10 numbers cross an edge instead of 64 and 16."""
+    _release()
+    e, own = normed(g)
+    e, own = _shared(e), _shared(own)
+    z = _shared(gather(e, D.matmul(g.features(), W0), own, width=16).withColumnRenamed("feat", "z"))
+    q = _shared(D.map_rows(z, lambda a: {"feat": np.tanh(a) @ W1}, ["z"], ["feat"], ["vid"]))
+    return e, own, z, Y.gcn_output(gather(e, q, own, width=10), _labels(g), W1, n, multiplied=True)
 
 
 @query("f01_gcn_hidden", sql(LONG.format("h0")))
@@ -636,25 +665,28 @@ def _(s, d):
 
 @query("f02_last_layer_fused", sql("SELECT 'p' AS name, vid, CAST(i AS INTEGER) AS i, round(val, 6) + 0.0 AS val FROM p1 UNION ALL SELECT 'grad', vid, CAST(i AS INTEGER), round(1000 * val, 6) + 0.0 FROM gr1"))
 def _(s, d):
-    out = _output(graph(s, d), n_vertices(s, d))[3]
+    out = _shared(_narrow_output(graph(s, d), n_vertices(s, d))[3])
     grad = out.select("vid", A.scale("grad", 1000.0).alias("grad"))
     return entries(out, "p").withColumn("name", F.lit("p")).unionByName(entries(grad, "grad").withColumn("name", F.lit("grad")))
 
 
 @query("f02_last_layer_weights", sql("SELECT CAST(ah1.i AS INTEGER) AS i, CAST(d1.i AS INTEGER) AS j, round(sum(ah1.val * d1.val), 6) + 0.0 AS val FROM ah1 JOIN d1 ON d1.vid = ah1.vid GROUP BY ah1.i, d1.i"))
 def _(s, d):
-    out = _output(graph(s, d), n_vertices(s, d))[3]
+    out = _output(graph(s, d), n_vertices(s, d))
     return D.gram(out, "ah", "d").select("i", "j", r6("val").alias("val"))
 
 
 @query("f03_hidden_backward", sql("SELECT CAST(ah.i AS INTEGER) AS i, CAST(g0.i AS INTEGER) AS j, round(sum(ah.val * g0.val), 6) + 0.0 AS val FROM ah JOIN g0 ON g0.vid = ah.vid GROUP BY ah.i, g0.i"))
 def _(s, d):
     g = graph(s, d)
-    e, own, first, out = _output(g, n_vertices(s, d))
-    atg = gather(e, out.select("vid", F.col("grad").alias("feat")), own, backward=True, width=16).withColumnRenamed("feat", "atg")
-    rows = Y.gcn_hidden_backward(atg.join(first.select("vid", "z"), "vid"), None)
-    both = _ah(g)[2].join(rows, "vid")
-    return D.gram(both, "feat", "g").select("i", "j", r6("val").alias("val"))
+    e, own, z, out = _narrow_output(g, n_vertices(s, d))
+    # a gather reads its rows twice, for the edges and for the vertex itself
+    u = gather(e, _shared(out.select("vid", F.col("d").alias("feat"))), own, backward=True, width=10)
+    atg = D.matmul(u, W1, transpose_w=True).withColumnRenamed("feat", "atg")
+    rows = _shared(Y.gcn_hidden_backward(atg.join(z, "vid"), None).withColumnRenamed("g", "feat"))
+    # (A X)' g = X' (A' g): the error goes over the edges instead of the features
+    back = gather(e, rows, own, backward=True, width=16).withColumnRenamed("feat", "t")
+    return D.gram(g.features().join(back, "vid"), "feat", "t").select("i", "j", r6("val").alias("val"))
 
 
 @query("f04_gat_vertex_forward", sql(LONG.format("zg")))
@@ -692,10 +724,21 @@ def _(s, d):
 @query("f07_gat_vertex_backward", sql("SELECT CAST(x.i AS INTEGER) AS i, CAST(gatg.i AS INTEGER) AS j, round(sum(x.val * gatg.val), 6) + 0.0 AS val FROM x JOIN gatg ON gatg.vid = x.vid GROUP BY x.i, gatg.i"))
 def _(s, d):
     g = graph(s, d)
-    z, scored, out = _gat(g)
-    grad = out.select("vid", "feat")
-    atg = Y.gat_backward(scored, Y.gat_edge_backward(scored, grad, A_VEC), grad, z, 16)
-    return D.gram(g.features().join(atg.withColumnRenamed("feat", "g"), "vid"), "feat", "g").select("i", "j", r6("val").alias("val"))
+    _release()
+    z = _shared(_z(g).withColumnRenamed("feat", "z"))
+    edges = _shared(g.edges.select("src", "dst"))
+    near = neighbour_sum(edges, z.select("vid", F.col("z").alias("feat")), 16, name="s")
+
+    def predict(z, s, label):
+        grad = Y._softmax(Y.gat_rows(z, s, A_VEC))
+        grad[np.arange(len(grad)), label.astype(np.int64)] -= 1
+        return {"grad": grad, "feat": Y.gat_push(z, grad, A_VEC)}
+
+    out = _shared(D.map_rows(z.join(near, "vid").join(g.vertices.select("vid", "label"), "vid"), predict, ["z", "s", "label"], ["grad", "feat"], ["vid", "z", "s"]))
+    back = neighbour_sum(edges, out.select("vid", "feat"), 16, backward=True, name="u")
+    rows = out.drop("feat").join(back, "vid")
+    atg = D.map_rows(rows, lambda z, s, grad, u: {"g": Y.gat_rows_backward(z, s, grad, u, A_VEC)}, ["z", "s", "grad", "u"], ["g"], ["vid"])
+    return D.gram(g.features().join(atg, "vid"), "feat", "g").select("i", "j", r6("val").alias("val"))
 
 
 @query("f08_gat_predict", sql(LONG.format("gg")))
@@ -705,7 +748,7 @@ def _(s, d):
 
 @query("f09_train_mask", sql("SELECT p1.vid, CAST(p1.i AS INTEGER) AS i, round(CASE WHEN sp.split = 'train' THEN p1.val WHEN p1.i = sp.label THEN 1 ELSE 0 END, 6) + 0.0 AS val FROM p1 JOIN sp ON sp.vid = p1.vid"))
 def _(s, d):
-    out = _output(graph(s, d), n_vertices(s, d))[3].withColumn("y", A.one_hot(F.col("label"), 10))
+    out = _narrow_output(graph(s, d), n_vertices(s, d))[3].withColumn("y", A.one_hot(F.col("label"), 10))
     return entries(out.select("vid", G.masked_probabilities("p", "y", F.col("split") == "train").alias("feat")))
 
 
@@ -725,13 +768,13 @@ def _(s, d):
 
 @query("g02_validation", sql("SELECT count(*) AS n, round(avg(CASE WHEN b.best = sp.label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS acc, round(avg(-ln(greatest(p1.val, 1e-38))), 6) + 0.0 AS loss FROM sp JOIN p1 ON p1.vid = sp.vid AND p1.i = sp.label JOIN (SELECT vid, min(i) FILTER (val = top) AS best FROM (SELECT vid, i, val, max(val) OVER (PARTITION BY vid) AS top FROM p1) GROUP BY vid) b ON b.vid = sp.vid WHERE sp.split = 'val'"))
 def _(s, d):
-    out = G.evaluation(G.score_rows(_output(graph(s, d), n_vertices(s, d))[3]))
+    out = G.evaluation(G.score_rows(_narrow_output(graph(s, d), n_vertices(s, d))[3]))
     return out.select("n", r6("acc").alias("acc"), r6("loss").alias("loss"))
 
 
 @query("g05_all_rows", sql("SELECT sp.split, count(*) AS n, round(avg(CASE WHEN b.best = sp.label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS acc, round(avg(-ln(greatest(p1.val, 1e-38))), 6) + 0.0 AS loss FROM sp JOIN p1 ON p1.vid = sp.vid AND p1.i = sp.label JOIN (SELECT vid, min(i) FILTER (val = top) AS best FROM (SELECT vid, i, val, max(val) OVER (PARTITION BY vid) AS top FROM p1) GROUP BY vid) b ON b.vid = sp.vid GROUP BY sp.split"))
 def _(s, d):
-    out = G.evaluation(G.score_rows(_output(graph(s, d), n_vertices(s, d))[3]), None, ["split"])
+    out = G.evaluation(G.score_rows(_narrow_output(graph(s, d), n_vertices(s, d))[3]), None, ["split"])
     return out.select("split", "n", r6("acc").alias("acc"), r6("loss").alias("loss"))
 
 
@@ -774,7 +817,7 @@ def _(s, d):
 def _(s, d):
     # each partition's gradient is a part of the sum, as each chunk's would be
     g = graph(s, d)
-    out = _output(g, n_vertices(s, d))[3].join(g.vertices.select("vid", "part"), "vid")
+    out = _shared(_output(g, n_vertices(s, d)).join(g.vertices.select("vid", "part"), "vid"))
     parts = [D.gram(out.where(F.col("part") == p), "ah", "d") for p in range(PARTS)]
     total = parts[0]
     for p in parts[1:]:
