@@ -17,6 +17,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / (e.sum(axis=1, keepdims=True) + A.SOFTMAX_FLOOR)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit integers, mixed (a shift and multiply finalizer)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def dropout_mask(vid: np.ndarray, width: int, share: float, *key: int) -> np.ndarray:
+    """1 / (1 - share) where a unit is kept, else 0; a hash of vertex, unit and key, so a lost task draws it again."""
+    salt = np.uint64(0)
+    for k in key:
+        salt = _mix(np.array([k], np.int64).astype(np.uint64) + salt + np.uint64(0x9E3779B97F4A7C15))[0]
+    units = _mix(np.arange(1, width + 1, dtype=np.uint64) ^ salt)
+    drawn = _mix(_mix(vid.astype(np.int64).astype(np.uint64) + salt)[:, None] + units[None, :])
+    return ((drawn >> np.uint64(11)) / float(1 << 53) >= share) / (1 - share)
+
+
 def gcn_hidden(ah: DataFrame, w: np.ndarray) -> DataFrame:
     """z = ah W, h = tanh z: (vid, feat) -> (vid, z, h)."""
 

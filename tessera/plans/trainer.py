@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import dense, evaluate, layers
 from ..operators.construct import cluster, in_degree, normalize
 from ..operators.gather import gather, neighbour_sum
-from ..operators.parameters import Adam, Convergence, State, gat_parameters, gcn_parameters
+from ..operators.parameters import Adam, Convergence, State, gat_parameters, gcn_parameters, halve_every
 from .graph import Graph
 from .planner import plan_gcn
 
 
 @dataclass
 class Options:
-    """Layer sizes and what a run's command line would say."""
+    """Layer sizes and what a run's command line would say. GCN only: activation (tanh or relu) and dropout, which hits
+    what every layer but the first sees. initial: parameters of an earlier run, to go on from."""
 
     sizes: list[int]
     epochs: int = 5
@@ -34,6 +35,33 @@ class Options:
     staleness: int = 0
     neighbour_softmax: bool = False
     optimizer: object = None
+    activation: str = "tanh"
+    dropout: float = 0.0
+    seed: int = 0
+    halve: int = 0
+    initial: list[dict[str, np.ndarray]] | None = None
+
+    def __post_init__(self):
+        if self.activation not in ("tanh", "relu"):
+            raise ValueError(f"unknown activation {self.activation}")
+        if self.dropout and self.activation != "relu":
+            raise ValueError("dropout goes with relu: a dropped unit is told by its zero")
+        if not 0 <= self.dropout < 1:
+            raise ValueError("dropout is a share below 1")
+
+    def start(self, fresh: list[dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
+        """Copies of the parameters to resume from, else the fresh ones."""
+        return [dict(p) for p in self.initial] if self.initial else fresh
+
+    def set_rate(self, optimizer, epoch: int) -> None:
+        """Halves the rate after every `halve` epochs; 0 leaves it alone."""
+        if self.halve:
+            optimizer.rate = halve_every(self._rate(optimizer), epoch, self.halve)
+
+    def _rate(self, optimizer) -> float:
+        if not hasattr(optimizer, "first_rate"):
+            optimizer.first_rate = optimizer.rate
+        return optimizer.first_rate
 
     def make_optimizer(self):
         return self.optimizer or Adam(self.rate)
@@ -93,9 +121,11 @@ class GcnTrainer:
         for df in (self.edges, self.edges_back, self.own, self.first, self.labels):
             df.unpersist()
 
-    def forward(self, w: list[np.ndarray]) -> tuple[DataFrame, list[DataFrame]]:
+    def forward(self, w: list[np.ndarray], key: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
         """(logits (vid, z), frames): frame k has layer k's activation h, what its product saw (inp, unless that is the
-        h before) and, if the next layer is multiplied first, the rows q that it gathers. One Python stage a layer."""
+        h before) and, if the next layer is multiplied first, the rows q that it gathers. One Python stage a layer.
+        key (the epoch): units are dropped, if any are; without it none are."""
+        relu, share, seed = self.options.activation == "relu", 0.0 if key is None else self.options.dropout, self.options.seed
         frames: list[DataFrame] = []
         rows = self.first.select("vid", F.col("feat").alias("inp"))
         for k, layer in enumerate(self.plan):
@@ -106,18 +136,20 @@ class GcnTrainer:
             last = k + 1 == len(self.plan)
             w_next = None if last or not self.plan[k + 1].multiply_first else w[k + 1]
 
-            def step(x, w=None if layer.multiply_first else w[k], w_next=w_next, last=last):
+            def step(x, vid, k=k, w=None if layer.multiply_first else w[k], w_next=w_next, last=last):
                 z = x if w is None else x @ w
                 if last:
                     return {"z": z}
-                h = np.tanh(z)
+                h = np.maximum(z, 0) if relu else np.tanh(z)
+                if share:
+                    h = h * layers.dropout_mask(vid, h.shape[1], share, seed, key, k)
                 return {"h": h} if w_next is None else {"h": h, "q": h @ w_next}
 
             if last and layer.multiply_first:
                 return rows.select("vid", "z"), frames
             given = "z" if layer.multiply_first else "inp"
             made = ["z"] if last else ["h"] + ["q"] * (w_next is not None)
-            frames.append(self._hold(dense.map_rows(rows, step, [given], made, ["vid"] + ["inp"] * (not layer.multiply_first))))
+            frames.append(self._hold(dense.map_rows(rows, step, [given, "vid"], made, ["vid"] + ["inp"] * (not layer.multiply_first))))
         return frames[-1].select("vid", "z"), frames
 
     def output(self, logits: DataFrame) -> DataFrame:
@@ -137,6 +169,7 @@ class GcnTrainer:
         """Gradient of every layer's matrix, as small sums of block products. The lowest two layers share one pass: what
         the first one needs is in the rows that the second one reads."""
         grads: list[np.ndarray] = [None] * len(w)
+        relu, share = self.options.activation == "relu", self.options.dropout
         g = out.select("vid", F.col("d").alias("g"))
         for k in range(len(w) - 1, 0, -1):
             layer, below = self.plan[k], frames[k - 1]
@@ -151,7 +184,8 @@ class GcnTrainer:
             m = w[k] if layer.multiply_first else None
 
             def lower(u, h, m=m):
-                return (u if m is None else u @ m.T) * (1 - h * h)
+                # a unit that is zero, by relu or by dropout, passes nothing on
+                return (u if m is None else u @ m.T) * ((h > 0) / (1 - share) if relu else 1 - h * h)
 
             seen = ["vid", "h"] + ["inp"] * (k == 1)
             rows = below.select(*seen).join(u, "vid")
@@ -173,26 +207,35 @@ class GcnTrainer:
             grads[0] = dense.gram_sums(rows, ["inp", "g"], lambda inp, g: {0: (inp, g)})[0]
         return [x if x is not None else np.zeros_like(m) for x, m in zip(grads, w)]
 
-    def epoch(self, w: list[np.ndarray]) -> tuple[list[np.ndarray], dict]:
-        logits, frames = self.forward(w)
+    def epoch(self, w: list[np.ndarray], key: int = 0) -> tuple[list[np.ndarray], dict]:
+        """Gradients and the metrics of the validation rows; those see no dropout."""
+        logits, frames = self.forward(w, key)
         out = self._hold(self.output(logits))
-        m = evaluate.evaluation(evaluate.score_rows(out)).first()
+        m = None if self.options.dropout else evaluate.evaluation(evaluate.score_rows(out)).first()
         grads = self.gradients(w, frames, out)
         self.release()
-        return grads, {"n": m["n"], "acc": m["acc"], "loss": m["loss"]}
+        return grads, {"n": m["n"], "acc": m["acc"], "loss": m["loss"]} if m else self.evaluate(w)
+
+    def evaluate(self, w: list[np.ndarray], where: str | None = "split = 'val'") -> dict:
+        """n, acc and loss of the chosen rows, without dropout: "split = 'test'" for the test mask, None for all."""
+        out = self.output(self.forward(w)[0])
+        m = evaluate.evaluation(evaluate.score_rows(out), where).first()
+        self.release()
+        return {"n": m["n"], "acc": m["acc"], "loss": m["loss"]}
 
     def fit(self, on_epoch: Callable[[dict], None] | None = None) -> Run:
         o = self.options
-        run = Run(gcn_parameters(o.sizes, o.init))
+        run = Run(o.start(gcn_parameters(o.sizes, o.init)))
         optimizer, seen = o.make_optimizer(), Convergence(o.target, o.threshold)
         past: list[list[np.ndarray]] = []
         for epoch in range(o.epochs):
             began = time.perf_counter()
+            o.set_rate(optimizer, epoch)
             w = [p["w"] for p in run.parameters]
             past = (past + [w])[-(o.staleness + 1):]
             # once the target is near, everyone runs in step
             lag = min(epoch % (o.staleness + 1), len(past) - 1) if run.state is State.EARLY else 0
-            grads, m = self.epoch(past[-1 - lag])
+            grads, m = self.epoch(past[-1 - lag], epoch)
             for k in range(len(w) - 1, -1, -1):
                 run.parameters[k]["w"] = optimizer.step((k, "w"), w[k], grads[k])
             optimizer.end_step()
@@ -324,10 +367,11 @@ class GatTrainer:
 
     def fit(self) -> Run:
         o = self.options
-        run = Run(gat_parameters(o.sizes, o.init))
+        run = Run(o.start(gat_parameters(o.sizes, o.init)))
         optimizer, seen = o.make_optimizer(), Convergence(o.target, o.threshold)
         for epoch in range(o.epochs):
             began = time.perf_counter()
+            o.set_rate(optimizer, epoch)
             grads, m = self.epoch(run.parameters)
             for k in range(len(grads) - 1, -1, -1):
                 for name, g in grads[k].items():
