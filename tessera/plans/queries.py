@@ -14,7 +14,7 @@ from ..operators.gather import (
     attention_gather, attention_gather_backward, column_sum, edge_rows, expand_dot, expand_hadamard, gather, graph_convolution, neighbour_sum,
     outer_product_sum,
 )
-from ..operators.parameters import gcn_parameters, kaiming, xavier
+from ..operators.parameters import SGD, Adam, gcn_parameters, kaiming, xavier
 from ..session import scratch_path
 from ..sources import binary, cache, generate, text
 from . import sage
@@ -778,13 +778,18 @@ def _(s, d):
     return out.select("split", "n", r6("acc").alias("acc"), r6("loss").alias("loss"))
 
 
-@query("g11_losses", sql("SELECT v.vid, round(ln(t.total) - x.val, 6) + 0.0 AS ce, round(q.half, 6) + 0.0 AS mse FROM v JOIN (SELECT vid, sum(exp(val)) AS total FROM x WHERE i < 10 GROUP BY vid) t ON t.vid = v.vid JOIN x ON x.vid = v.vid AND x.i = v.label JOIN (SELECT x.vid, sum((x.val - CASE WHEN x.i = v.label THEN 1 ELSE 0 END) * (x.val - CASE WHEN x.i = v.label THEN 1 ELSE 0 END)) / 2 AS half FROM x JOIN v ON v.vid = x.vid WHERE x.i < 10 GROUP BY x.vid) q ON q.vid = v.vid"))
+@query("g11_losses", sql("SELECT v.vid, round(ln(t.total) - x.val, 6) + 0.0 AS ce, round(q.half, 6) + 0.0 AS mse FROM v JOIN (SELECT vid, sum(exp(val)) AS total FROM x GROUP BY vid) t ON t.vid = v.vid JOIN x ON x.vid = v.vid AND x.i = v.label JOIN (SELECT x.vid, sum((x.val - CASE WHEN x.i = v.label THEN 1 ELSE 0 END) * (x.val - CASE WHEN x.i = v.label THEN 1 ELSE 0 END)) / 2 AS half FROM x JOIN v ON v.vid = x.vid GROUP BY x.vid) q ON q.vid = v.vid"))
 def _(s, d):
-    rows = graph(s, d).vertices.select("vid", "label", F.slice("feat", 1, 10).alias("x"), A.one_hot(F.col("label"), 10).alias("y"))
+    rows = graph(s, d).vertices.select("vid", "label", F.col("feat").alias("x"), A.one_hot(F.col("label"), 64).alias("y"))
     diff = A.subtract("x", "y")
     return rows.select("vid", r6(A.log_softmax_loss("x", F.col("label"))).alias("ce"), r6(A.dot(diff, diff) / 2).alias("mse"))
 
 
+@query("g12_one_hot", sql("SELECT vid, CAST(i AS INTEGER) AS i, CASE WHEN i = label THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS val FROM (SELECT vid, label, unnest(range(10)) AS i FROM v)"))
+def _(s, d):
+    return entries(graph(s, d).vertices.select("vid", A.one_hot(F.col("label"), 10).alias("feat")))
+
+
 _BLOCKS = "SELECT vid, CASE WHEN pos >= size * 60 THEN NULL WHEN pos % size < floor(size * CAST(0.66 AS DOUBLE)) THEN 'train' WHEN pos % size < floor(size * CAST(0.66 AS DOUBLE)) + floor(size * CAST(0.1 AS DOUBLE)) THEN 'val' WHEN pos % size < floor(size * CAST(0.66 AS DOUBLE)) + floor(size * CAST(0.1 AS DOUBLE)) + floor(size * CAST(0.24 AS DOUBLE)) THEN 'test' END AS split FROM (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS pos, count(*) OVER () // 60 AS size FROM v)"
 
 
@@ -834,8 +839,6 @@ _ADAM = (
 
 @query("h10_adam", _ADAM)
 def _(s, d):
-    from ..operators.parameters import Adam
-
     opt, w, rows = Adam(0.01), np.array([1.0]), [(1, 1.0)]
     for t in range(2, 22):  # gradient of w^2 / 2
         w = opt.step("w", w, w)
@@ -846,8 +849,6 @@ def _(s, d):
 
 @query("h16_sgd_momentum", "WITH RECURSIVE a AS (SELECT CAST(1 AS INTEGER) AS t, CAST(1 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS v UNION ALL SELECT t + 1, w - CAST(0.1 AS DOUBLE) * (CAST(0.5 AS DOUBLE) * v + w * CAST(1.01 AS DOUBLE)), CAST(0.5 AS DOUBLE) * v + w * CAST(1.01 AS DOUBLE) FROM a WHERE t <= 20) SELECT t, round(w, 6) + 0.0 AS w FROM a")
 def _(s, d):
-    from ..operators.parameters import SGD
-
     opt, w, rows = SGD(0.1, momentum=0.5, decay=0.01), np.array([1.0]), [(1, 1.0)]
     for t in range(2, 22):
         w = opt.step("w", w, w)
@@ -855,6 +856,29 @@ def _(s, d):
     return s.createDataFrame(rows, "t int, v double").select("t", r6("v").alias("w"))
 
 
+_STEP = "SELECT w1.i, w1.j, round({}, 6) + 0.0 AS val FROM w1 JOIN (SELECT ah1.i, d1.i AS j, sum(ah1.val * d1.val) AS g FROM ah1 JOIN d1 ON d1.vid = ah1.vid GROUP BY ah1.i, d1.i) t ON t.i = w1.i AND t.j = w1.j"
+
+
+def _step_query(name: str, rule: str, make) -> None:
+    """One step of an optimizer from the gradient over all training rows."""
+
+    @query(name, sql(_STEP.format(rule)))
+    def _(s, d):
+        gradient = D.collect_matrix(D.gram(_output(graph(s, d), n_vertices(s, d)), "ah", "d"), W1.shape)
+        m = make().step("w", W1, gradient)
+        return s.createDataFrame([(i, j, float(m[i, j])) for i, j in np.ndindex(*m.shape)], "i int, j int, v double").select("i", "j", r6("v").alias("val"))
+
+
+_ADAM_FIRST = "w1.val - CAST(0.01 AS DOUBLE) * sqrt(1 - CAST(0.999 AS DOUBLE)) / (1 - CAST(0.9 AS DOUBLE)) * (1 - CAST(0.9 AS DOUBLE)) * t.g / (sqrt((1 - CAST(0.999 AS DOUBLE)) * t.g * t.g) + CAST({} AS DOUBLE))"
+for _name, _rule, _make in (
+    ("h08_sgd_step", "w1.val - CAST(0.5 AS DOUBLE) * t.g", lambda: SGD(0.5)),
+    ("h09_adam_step", _ADAM_FIRST.format("1e-7"), lambda: Adam(0.01)),
+    ("h17_nesterov_step", "w1.val - CAST(0.5 AS DOUBLE) * (1 + CAST(0.9 AS DOUBLE)) * (t.g + CAST(0.01 AS DOUBLE) * w1.val)", lambda: SGD(0.5, momentum=0.9, decay=0.01, nesterov=True)),
+    ("h17_adam_without_epsilon", _ADAM_FIRST.format("0"), lambda: Adam(0.01, epsilon=0.0)),
+):
+    _step_query(_name, _rule, _make)
+
+
 @query("i01_chunks", sql("SELECT part, chunk, min(pos) AS low, max(pos) + 1 AS high FROM (SELECT part, pos, CAST(pos // CAST(ceil(n / 3.0) AS BIGINT) AS INTEGER) AS chunk FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vid) - 1 AS pos, count(*) OVER (PARTITION BY part) AS n FROM v)) GROUP BY part, chunk"))
 def _(s, d):
     p = G.chunk_positions(graph(s, d).vertices, CHUNKS)
