@@ -24,8 +24,10 @@ LENGTH, ANCHOR = 100, 32
 LOCAL, SHARD = 32 << 20, 6 << 20
 #: Occurrences of an anchor beyond which its windows are dealt out one by one, each a context of its own.
 HOT = 50_000
-#: Suffixes of a bucket, on average, from which induction takes whole stretches of a bucket at a time, else one by one.
+#: Suffixes of a bucket, on average, from which induction takes stretches of a bucket at a time, else blocks of buckets.
 PER_BUCKET = 200
+#: Suffixes that a block of buckets has at least.
+BLOCK = 1 << 14
 WHOLE = 0xFFFFFFFF
 
 _RANDOM = W.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(W.BASE))
@@ -43,29 +45,52 @@ def suffix_types(s: np.ndarray) -> np.ndarray:
     return np.append(less[turn], True)
 
 
-def _induce_each(s: np.ndarray, small: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """As _induce(), one suffix after the other: for many small buckets."""
-    end = np.cumsum(count)
-    text, is_small, sa = s.tolist(), small.tolist(), [-1] * len(s)
-    tail = end.tolist()
-    for i in lms[::-1].tolist():
-        c = text[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = (end - count).tolist()
-    for i in sa:  # grows ahead of the loop, never behind it
-        if i > 0 and not is_small[i - 1]:
-            c = text[i - 1]
-            sa[head[c]] = i - 1
-            head[c] += 1
-    tail = end.tolist()
-    for at in range(len(sa) - 1, -1, -1):
-        i = sa[at]
-        if i > 0 and is_small[i - 1]:
-            c = text[i - 1]
-            tail[c] -= 1
-            sa[tail[c]] = i - 1
-    return np.array(sa, dtype=np.int32)
+def _induce_blocks(s: np.ndarray, small: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """As _induce(), a block of neighbouring buckets at a time: for many small buckets.
+
+    A suffix's place follows from its bucket and the place of the suffix after it, which an earlier block has settled,
+    or else the block itself: then its places are induced once more, until none of them moves."""
+    n, end = len(s), np.cumsum(count)
+    n_small = np.bincount(s[small], minlength=len(count))
+    own = s[lms]
+    n_own = np.bincount(own, minlength=len(count))
+    first = np.cumsum(n_own) - n_own
+    at = np.full(n + 1, -1, dtype=np.int64)
+    at[lms] = end[own] - n_own[own] + np.arange(len(lms)) - first[own]
+    sa = np.empty(n, dtype=np.int32)
+
+    def place(members: np.ndarray, low: np.ndarray, size: np.ndarray, backwards: bool) -> None:
+        """Suffixes of one type into their parts of the buckets, which begin at low."""
+        if not len(members):
+            return
+        members = members[np.argsort(s[members], kind="stable")]
+        done = np.cumsum(size)
+        slots = np.arange(len(members)) + np.repeat(low - (done - size), size)
+        cuts = np.unique(np.append(done[np.searchsorted(done, np.arange(BLOCK, len(members), BLOCK))], len(members)))
+        blocks = list(zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist()))
+        for lo, hi in reversed(blocks) if backwards else blocks:
+            x, to = members[lo:hi], slots[lo:hi]
+            bucket = s[x].astype(np.int64) * (n + 1)
+            at[x] = to
+            after = s[x + 1]
+            inner = (small[x + 1] == backwards) & (after >= s[x[0]]) & (after <= s[x[-1]])
+            rounds = inner.any()
+            while True:
+                order = np.argsort(bucket + at[x + 1])
+                moved = x[order]
+                at[moved] = to
+                if not rounds or np.array_equal(moved, x):
+                    break
+                x = moved
+            sa[to] = moved
+
+    place(np.flatnonzero(~small), end - count, count - n_small, False)
+    # the last suffix, a sentinel, stands first and is induced from nothing
+    n_small[0] -= 1
+    at[n - 1] = 0
+    sa[0] = n - 1
+    place(np.flatnonzero(small[:-1]), end - n_small, n_small, True)
+    return sa
 
 
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -165,7 +190,7 @@ def suffix_array(s: np.ndarray, levels: list[int] | None = None, per_bucket: int
     small = suffix_types(s)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     count = np.bincount(s)
-    induce = _induce if n >= per_bucket * np.count_nonzero(count) else _induce_each
+    induce = _induce if n >= per_bucket * np.count_nonzero(count) else _induce_blocks
     rough = lms[np.argsort(s[lms], kind="stable")]
     sa = induce(s, small, rough, count)
     is_lms = np.zeros(n, dtype=bool)
@@ -226,8 +251,7 @@ def repeats_in(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     reach = int(sizes.max(initial=0)) + length + 8
     plcp = permuted_prefixes(s, sa, starts, reach)
     group = np.cumsum(plcp[sa] < length)
-    context = np.searchsorted(starts, sa, side="right") - 1
-    context = np.minimum(context, len(starts) - 1)
+    context = np.append(np.repeat(np.arange(len(starts)), sizes + 1), len(starts) - 1)[sa]
     offset = sa - starts[context]
     fine = (offset + length <= sizes[context]) & (sa < len(flat))
     return context[fine], offset[fine], group[fine]
