@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.arrays import dot, scale
 from .construct import in_degree, reverse
 
-#: Widest row that is summed with one aggregate per element; wider rows go in long form.
+#: Widest row that is summed with one aggregate per element; wider rows are cut into blocks of at most so many.
 MAX_COLUMNS = 96
 
 AGGREGATES = {"wsum": F.sum, "add": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
@@ -18,18 +18,43 @@ def width_of(x: DataFrame, column: str = "feat") -> int:
     return row[0] if row else 0
 
 
+def block_size(width: int) -> int:
+    """Elements a block when a row is cut into as few, about equal blocks as hold MAX_COLUMNS at most."""
+    return -(-width // -(-width // MAX_COLUMNS))
+
+
+def cut(rows: DataFrame, feat: str, width: int) -> DataFrame:
+    """A row for each block of the arrays, numbered in the column block."""
+    size = block_size(width)
+    parts = F.array(*(F.slice(feat, at + 1, size) for at in range(0, width, size)))
+    return rows.select(*(c for c in rows.columns if c != feat), F.posexplode(parts).alias("block", feat))
+
+
 def combine(rows: DataFrame, key: str, feat: str, width: int, how: str = "wsum", name: str = "feat") -> DataFrame:
     """rows (key, feat array) -> (key, name): element-wise aggregate of the arrays of each key.
 
     Up to MAX_COLUMNS elements one hash aggregate holds a sum per element, with partial sums before the shuffle, so a
-    hub's rows never meet whole; beyond, elements become rows (key, i) and the finished sums are put back together."""
+    hub's rows never meet whole; beyond, see combine_blocks()."""
     fn = AGGREGATES[how]
     if width <= MAX_COLUMNS:
         flat = rows.select(key, *(F.get(feat, F.lit(i)).alias(f"c{i}") for i in range(width)))
         sums = flat.groupBy(key).agg(*(fn(f"c{i}").alias(f"c{i}") for i in range(width)))
         return sums.select(key, F.array(*(f"c{i}" for i in range(width))).alias(name))
-    long = rows.select(key, F.posexplode(feat).alias("i", "v")).groupBy(key, "i").agg(fn("v").alias("v"))
-    return long.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias(name))
+    return combine_blocks(cut(rows.select(key, feat), feat, width), key, feat, width, how, name)
+
+
+def combine_blocks(blocks: DataFrame, key: str, feat: str, width: int, how: str = "wsum", name: str = "feat", weight: str | None = None) -> DataFrame:
+    """combine() of rows that are cut already, each times its weight.
+
+    What the tasks before the shuffle write is a partial sum of nearly every key for every task, so there are no more
+    of them than two a core; a finished row is put together from its blocks."""
+    fn, size = AGGREGATES[how], block_size(width)
+    few = blocks.coalesce(2 * blocks.sparkSession.sparkContext.defaultParallelism)
+    one = lambda i: F.get(feat, F.lit(i)) * F.col(weight) if weight else F.get(feat, F.lit(i))
+    flat = few.select(key, "block", *(one(i).alias(f"c{i}") for i in range(size)))
+    sums = flat.groupBy(key, "block").agg(*(fn(f"c{i}").alias(f"c{i}") for i in range(size)))
+    whole = sums.select(key, F.struct("block", F.array(*(f"c{i}" for i in range(size))).alias("v")).alias("b")).groupBy(key).agg(F.sort_array(F.collect_list("b")).alias("b"))
+    return whole.select(key, F.slice(F.flatten("b.v"), 1, width).alias(name))
 
 
 def edge_rows(edges: DataFrame, x: DataFrame, end: str = "src", name: str = "feat") -> DataFrame:
@@ -46,6 +71,8 @@ def gather(edges: DataFrame, x: DataFrame, self_weights: DataFrame | None = None
     one shuffle for the sums; AQE splits hub sources in the join and partial sums take care of hub destinations."""
     e = reverse(edges) if backward else edges
     width = width or width_of(x)
+    if width > MAX_COLUMNS:
+        return _gather_wide(e, x, self_weights, weight, how, width)
     rows = edge_rows(e, x)
     if weight is not None:
         w = F.col(weight) if isinstance(weight, str) else weight
@@ -58,6 +85,17 @@ def gather(edges: DataFrame, x: DataFrame, self_weights: DataFrame | None = None
     return combine(rows, "vid", "feat", width, how)
 
 
+def _gather_wide(e: DataFrame, x: DataFrame, self_weights: DataFrame | None, weight: str | Column | None, how: str, width: int) -> DataFrame:
+    """gather() over edges in their direction; vertex rows are cut before the join, the weights go into the aggregate."""
+    blocks = cut(x.select("vid", "feat"), "feat", width)
+    w = F.lit(1.0) if weight is None else F.col(weight) if isinstance(weight, str) else weight
+    e = e.select("src", "dst", w.alias("w"))
+    rows = e.join(blocks.withColumnRenamed("vid", "src"), "src").select(F.col("dst").alias("vid"), "block", "feat", "w")
+    if self_weights is not None:
+        rows = rows.unionByName(blocks.join(self_weights, "vid").select("vid", "block", "feat", "w"))
+    return combine_blocks(rows, "vid", "feat", width, how, weight="w")
+
+
 def neighbour_sum(edges: DataFrame, x: DataFrame, width: int, backward: bool = False, name: str = "feat") -> DataFrame:
     """(vid, name): plain sum of the rows at the other ends of a vertex's edges, a row of zeros where it has none. Edges
     carry no weight, so their rows go into the aggregate as they are."""
