@@ -33,12 +33,17 @@ def sample_with_replacement(edges: DataFrame, k: int, seed: int = 0) -> DataFram
     return picks.join(e, ["dst", "pos"]).select("src", "dst", "t")
 
 
+def block(edges: DataFrame, want: DataFrame, k: int, seed: int = 0, replace: bool = False) -> DataFrame:
+    """(src, dst): k drawn edges into each wanted vertex (vid)."""
+    into = edges.join(want.select(F.col("vid").alias("dst")), "dst", "left_semi")
+    return (sample_with_replacement if replace else sample_neighbours)(into, k, seed).select("src", "dst")
+
+
 def blocks(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 0, replace: bool = False) -> list[DataFrame]:
     """Edges of each hop, outermost first, that the seeds (vid) need."""
     out, want = [], seeds.select("vid").distinct()
     for hop, k in enumerate(reversed(fanouts)):
-        into = edges.join(want.select(F.col("vid").alias("dst")), "dst", "left_semi")
-        got = (sample_with_replacement if replace else sample_neighbours)(into, k, seed + hop).select("src", "dst")
+        got = block(edges, want, k, seed + hop, replace)
         out.insert(0, got)
         want = want.unionByName(got.select(F.col("src").alias("vid"))).distinct()
     return out

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -41,3 +41,26 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     if path.startswith(("/", "file:")):
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return path
+
+
+#: Files of the shuffles behind a write go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written to a scratch path and read back, and that path. Plans over it begin at the files, while those over
+    persisted frames hold the plan of each again wherever it is read."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, tag), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by the file system that it is on."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -57,3 +57,19 @@ def test_fit_and_edge_loss(spark, case):
     w = [p["w"] for p in run.parameters]
     row = sage.edge_loss(g, w, g.edges.where(F.col("src") < 10)).first()
     assert row["n"] > 0 and row["loss"] > 0
+
+
+def test_plans_of_a_step_stay_short(spark, case):
+    g, *_ = case
+    t = sage.SageTrainer(g, sage.SageOptions([D, 4, K], [2, 2], dropout=0.2))
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def runs():
+        bus.waitUntilEmpty(30_000)
+        got = store.executionsList()
+        return {got.apply(i).executionId(): len(got.apply(i).physicalPlanDescription()) for i in range(got.size())}
+
+    before = runs()
+    t.step(spark.createDataFrame([(s,) for s in range(0, N, 3)], "vid long"), [p["w"] for p in gcn_parameters([D, 4, K])], 0)
+    t.close()
+    assert max(n for i, n in runs().items() if i not in before) < 500_000
