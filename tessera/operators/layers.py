@@ -24,6 +24,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def hashed(vid: np.ndarray, key: np.ndarray, t: int) -> np.ndarray:
+    """A number in [0, 1) for each pair of vid and key, by a hash of both and t."""
+    far = np.uint64(0x9E3779B97F4A7C15)
+    salt = _mix(key.astype(np.int64).astype(np.uint64) + far) + _mix(np.array([t + 1], np.uint64) * far)
+    return (_mix(_mix(vid.astype(np.int64).astype(np.uint64) + salt)) >> np.uint64(11)) / float(1 << 53)
+
+
 def dropout_mask(vid: np.ndarray, width: int, share: float, *key: int) -> np.ndarray:
     """1 / (1 - share) where a unit is kept, else 0; a hash of vertex, unit and key, so a lost task draws it again."""
     salt = np.uint64(0)

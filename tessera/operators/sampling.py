@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrays as A
 from .gather import gather
+from .layers import hashed
+
+#: Incoming edges of a vertex are dealt by their sources into so many lists, and those cut after so many entries, so that a
+#: hub's edges fit into tasks and rows.
+SALTS, ENTRIES = 8, 1 << 16
 
 
 def draw(*parts) -> Column:
@@ -49,6 +58,80 @@ def blocks(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 0
     return out
 
 
+def in_lists(edges: DataFrame) -> DataFrame:
+    """(dst, salt, chunk, srcs): the sources of each vertex's incoming edges in lists, in which an edge has a fixed place."""
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    e = e.withColumn("salt", F.pmod(F.hash("src"), F.lit(SALTS))).repartition("dst", "salt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b[c].to_numpy() for c in ("src", "dst", "salt")] for b in batches if b.num_rows]
+        if not got:
+            return
+        src, dst, salt = (np.concatenate(x) for x in zip(*got))
+        del got
+        order = np.lexsort((src, salt, dst))
+        src, dst, salt = src[order], dst[order], salt[order]
+        new = np.r_[True, (dst[1:] != dst[:-1]) | (salt[1:] != salt[:-1])]
+        place = np.arange(len(src)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        at = np.flatnonzero(place % ENTRIES == 0)
+        ends = np.r_[at, len(src)]
+        for lo in range(0, len(at), 4096):
+            a, e = at[lo : lo + 4096], ends[lo : lo + 4097]
+            srcs = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(src[e[0] : e[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(dst[a]), pa.array(salt[a].astype(np.int32)), pa.array((place[a] // ENTRIES).astype(np.int32)), srcs], ["dst", "salt", "chunk", "srcs"])
+
+    return e.mapInArrow(run, "dst long, salt int, chunk int, srcs array<long>")
+
+
+def list_sizes(lists: DataFrame) -> DataFrame:
+    """(dst, sizes): how many incoming edges a vertex has under each salt."""
+    n = F.size("srcs").cast("long")
+    return lists.groupBy("dst").agg(F.array(*(F.sum(F.when(F.col("salt") == i, n).otherwise(0)) for i in range(SALTS))).alias("sizes"))
+
+
+def drawn_places(n: np.ndarray, vid: np.ndarray, key: np.ndarray, k: int, replace: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(places, valid), a row for each vertex: k places below n, any set of places as likely as any other (Floyd's rule); all
+    places if there are no more than k. With replacement k places wherever n > 0."""
+    count = np.where(n > 0, k, 0) if replace else np.minimum(n, k)
+    places = np.full((len(n), k), -1, dtype=np.int64)
+    for i in range(k):
+        top = n if replace else n - count + i + 1
+        x = np.minimum((hashed(vid, key, i) * top).astype(np.int64), top - 1)
+        if not replace:
+            x = np.where((places[:, :i] == x[:, None]).any(axis=1), top - 1, x)
+        places[:, i] = np.where(i < count, x, -1)
+    return places, places >= 0
+
+
+def drawn_rows(lists: DataFrame, sizes: DataFrame, want: DataFrame, k: int, replace: bool = False) -> DataFrame:
+    """want (step, key, vid) -> (step, src, dst, w): for all steps at once, k drawn edges into each wanted vertex and a loop,
+    w one over their number. What is drawn hangs on key and vertex alone; the cost of a draw does not hang on degrees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            step, key, vid = (b[c].to_numpy() for c in ("step", "key", "vid"))
+            size = np.array(b["sizes"].flatten()).reshape(-1, SALTS)
+            ends = np.cumsum(size, axis=1)
+            places, valid = drawn_places(ends[:, -1], vid, key, k, replace)
+            row, col = np.nonzero(valid)
+            x = places[row, col]
+            salt = (x[:, None] >= ends[row]).sum(axis=1)
+            x = x - (ends[row, salt] - size[row, salt])
+            w = 1 / (valid.sum(axis=1) + 1)
+            own = np.arange(len(vid))
+            row, none = np.r_[row, own], np.full(len(vid), -1)
+            columns = [step[row], vid[row], w[row], np.r_[salt, none].astype(np.int32), np.r_[x // ENTRIES, none].astype(np.int32), np.r_[x % ENTRIES, none].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["step", "dst", "w", "salt", "chunk", "at"])
+
+    none = F.array(*(F.lit(0).cast("long") for _ in range(SALTS)))
+    known = want.join(sizes.withColumnRenamed("dst", "vid"), "vid", "left").select("step", "key", "vid", F.coalesce("sizes", none).alias("sizes"))
+    places = known.mapInArrow(run, "step int, dst long, w double, salt int, chunk int, at int")
+    # a loop has no list, so it keeps its own end
+    return places.join(lists, ["dst", "salt", "chunk"], "left").select("step", F.coalesce(F.get("srcs", F.col("at")), "dst").alias("src"), "dst", "w")
+
+
 def ego_hops(edges: DataFrame, seeds: DataFrame, hops: int, k: int | None = None) -> DataFrame:
     """(root, vid, hop): what lies within so many hops upstream of each seed; with k the k smallest ids of each vertex."""
     e = edges.select("src", "dst").distinct()

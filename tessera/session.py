@@ -47,16 +47,23 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """df written to a scratch path and read back, and that path. Plans over it begin at the files, while those over
-    persisted frames hold the plan of each again wherever it is read."""
+def write(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Writes df, and the files of the shuffles behind it go."""
     spark = df.sparkSession
-    path, before = scratch_path(spark, tag), spark.conf.get(_CLEANUP, None)
+    before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written to a scratch path and read back, and that path. Plans over it begin at the files, while those over
+    persisted frames hold the plan of each again wherever it is read."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
