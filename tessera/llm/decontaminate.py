@@ -11,10 +11,12 @@ item in any letter case, with other numbers too, and the second one items whose
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ WIDTH, SHARE = 5, 0.8
 BROADCAST_WINDOWS = 2_000_000
 #: Word types that a task remembers.
 CACHE = 250_000
+#: Bytes of texts whose words are read as one array: a short text alone costs more calls than work.
+TOGETHER = 1 << 18
 
 # Words that are numbers, units that make a number a quantity, names that are known where a sentence opens.
 NUMBER_WORDS = frozenset(
@@ -60,6 +64,56 @@ _HOLD = {k: np.uint64(xxhash.xxh64_intdigest(b"\0slot" + bytes([k]))) for k in (
 _MARKS = ".,;:!?\"'()[]{}|#*&%$€£+-–—«»„“”…_/\\<>=~@^"
 
 
+#: Longest word that is read without looking it up, and marks behind it.
+SHORT, BEHIND = 64, 4
+
+
+def _among(chars: str) -> np.ndarray:
+    out = np.zeros(256, dtype=np.uint8)
+    out[[ord(c) for c in chars if c.isascii()]] = 1
+    return out
+
+
+_UPPER, _LETTER, _MARK, _CLOSES, _ENDS = (_among(x) for x in (string.ascii_uppercase, string.ascii_letters, _MARKS, "\"')]", ".!?:;"))
+_OTHER = _LETTER == 0
+_LOWER = np.arange(256, dtype=np.uint8) + _UPPER * np.uint8(32)
+_CUT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_M64 = (1 << 64) - 1
+
+
+def _plain_hash(word: bytes) -> int:
+    """Hash of a word of lower-case ASCII letters, eight at a time; _plain_hashes() has it for many."""
+    h = len(word) * W.BASE & _M64
+    for i in range(0, len(word), 8):
+        h ^= int.from_bytes(word[i : i + 8], "little")
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & _M64
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & _M64
+        h ^= h >> 31
+    return h
+
+
+def _plain_hashes(low: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of the words of n > 0 bytes at the places `at` of low, behind which there are eight bytes more."""
+    eight = np.ndarray((len(low) - 7,), dtype="<u8", buffer=low, strides=(1,))
+    h = W.mix((n.astype(np.uint64) * np.uint64(W.BASE)) ^ (eight[at] & _CUT[np.minimum(n, 8)]))
+    i, more = 8, np.flatnonzero(n > 8)
+    while len(more):
+        h[more] = W.mix(h[more] ^ (eight[at[more] + i] & _CUT[np.minimum(n[more] - i, 8)]))
+        i += 8
+        more = more[n[more] > i]
+    return h
+
+
+_known = {}
+for _flag, _list in ((NUM, NUMBER_WORDS), (NAME, NAMES), (UNIT, UNITS)):
+    for _word in _list:
+        _known[_plain_hash(_word.encode())] = _known.get(_plain_hash(_word.encode()), 0) | _flag
+_KNOWN = np.array(sorted(_known), dtype=np.uint64)
+_FLAGS = np.array([_known[h] for h in sorted(_known)], dtype=np.uint8)
+_MAYBE = np.zeros(1 << 16, dtype=bool)
+_MAYBE[_KNOWN & np.uint64(0xFFFF)] = True
+
+
 class _Words(dict):
     """Word -> number of its type; keeps hash, kind and surface of each type."""
 
@@ -97,7 +151,7 @@ class _Words(dict):
         if word[-1] in _LAST and word.rstrip("\"')]»”").endswith((".", "!", "?", ":", ";")):
             kind |= END
         at = self[key] = len(self.kinds)
-        self.hashes.append(xxhash.xxh64_intdigest(low.encode()))
+        self.hashes.append(_plain_hash(low.encode()) if low.isascii() and low.isalpha() else xxhash.xxh64_intdigest(low.encode()))
         self.kinds.append(kind)
         self.surface.append(low)
         return at
@@ -120,14 +174,20 @@ class Canonical:
     def __init__(self):
         self.words = _Words()
 
-    def read(self, text: bytes) -> "Reading":
-        """The words of a text that are not mere marks, with what each can be."""
+    def read(self, texts: list[bytes]) -> "Reading":
+        """The words of texts, one behind the other, that are not mere marks, with what each can be."""
         if len(self.words) > CACHE:
             self.words = _Words()
-        w = self.words
-        words = text.split()
-        ids = np.fromiter(map(w.__getitem__, words), dtype=np.int64, count=len(words))
-        kind, hashes = np.frombuffer(w.kinds, dtype=np.uint8)[ids], np.frombuffer(w.hashes, dtype=np.uint64)[ids]
+        whole = b"\n".join(texts) + b"\n" * 16
+        data = np.frombuffer(whole, dtype=np.uint8)
+        begin, stop = W.word_spans(data)
+        start = np.r_[np.searchsorted(begin, np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])), len(begin)]
+        hashes, kind, slow = self._letters(data, begin, stop)
+        if len(slow):
+            w = self.words
+            words = [whole[a:b] for a, b in zip(begin[slow].tolist(), stop[slow].tolist())]
+            ids = np.fromiter(map(w.__getitem__, words), dtype=np.int64, count=len(words))
+            hashes[slow], kind[slow] = np.frombuffer(w.hashes, dtype=np.uint64)[ids], np.frombuffer(w.kinds, dtype=np.uint8)[ids]
         end = kind & END != 0
         opens = _before(end, True)
         empty = kind & EMPTY != 0
@@ -136,43 +196,91 @@ class Canonical:
             has = np.flatnonzero(~empty)
             ends = _before(np.cumsum(end), 0)[has]
             opens = ends != _before(ends, -1)
-            kind, hashes, ids = kind[has], hashes[has], ids[has]
-        return Reading(w.surface, ids, kind, hashes, opens)
+            kind, hashes, begin, stop, start = kind[has], hashes[has], begin[has], stop[has], np.searchsorted(has, start)
+        return Reading(self.words, whole, begin, stop, hashes, kind, opens, start)
+
+    @staticmethod
+    def _letters(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, kind, places of the others) of words that are ASCII letters between marks, as _Words has them but without
+        a look at each: most words of a corpus are seen once or twice."""
+        other = np.zeros(len(data) + 1, dtype=np.int32)
+        np.cumsum(_OTHER[data], out=other[1:])
+        lo, hi, last = begin + _MARK[data[begin]], stop, stop - 1
+        for _ in range(BEHIND):
+            hi = hi - _MARK[data[hi - 1]]
+            last = last - _CLOSES[data[last]]
+        n = hi - lo
+        fast = (n > 0) & (n <= SHORT) & (other[hi] == other[lo])
+        h = _plain_hashes(_LOWER[data], lo, np.where(fast, n, 1))
+        kind = _UPPER[data[lo]] * np.uint8(CAPITAL)
+        at = np.flatnonzero(_MAYBE[h & np.uint64(0xFFFF)])
+        k = np.minimum(np.searchsorted(_KNOWN, h[at]), len(_KNOWN) - 1)
+        there = _KNOWN[k] == h[at]
+        at, flags = at[there], _FLAGS[k[there]]
+        name = np.where(flags & NAME, NAME, CAPITAL).astype(np.uint8)
+        kind[at] = np.where(flags & NUM, NUM, np.where(kind[at] != 0, name, 0)).astype(np.uint8) | (flags & UNIT)
+        kind |= _ENDS[data[last]] * np.uint8(END)
+        return h, kind, np.flatnonzero(~fast)
 
 
 class Reading:
-    """A text's words and the three ways to read which of them are names."""
+    """The words of texts and the three ways to read which of them are names. start: where each text begins, and the end."""
 
-    def __init__(self, surface: list[str], ids: np.ndarray, kind: np.ndarray, hashes: np.ndarray, opens: np.ndarray):
-        self.surface, self.ids, self.hashes = surface, ids, hashes
+    def __init__(self, words: _Words, whole: bytes, begin: np.ndarray, stop: np.ndarray, hashes: np.ndarray, kind: np.ndarray, opens: np.ndarray, start: np.ndarray):
+        self.words, self.whole, self.begin, self.stop, self.hashes, self.start = words, whole, begin, stop, hashes, start
+        self.head = start[:-1][start[:-1] < start[1:]]
+        opens[self.head] = True
         self.number = kind & NUM != 0
-        self.unit = (kind & UNIT != 0) & _before(self.number, False)
+        self.unit = kind & UNIT != 0
+        self.unit &= self._before(self.number)
         self.quantity = (kind & QTY != 0) | (self.number & _before(self.unit[::-1], False)[::-1])
         capital, known = (kind & CAPITAL != 0) & ~self.unit, (kind & NAME != 0) & ~self.unit
-        self.names = [known | (capital & ~opens), known | capital, np.zeros(len(ids), dtype=bool)]
+        self.names = [known | (capital & ~opens), known | capital, np.zeros(len(kind), dtype=bool)]
+
+    def _before(self, x: np.ndarray) -> np.ndarray:
+        """Whether x holds for the word before, in the same text."""
+        out = _before(x, False)
+        out[self.head] = False
+        return out
 
-    def windows(self, way: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first word, word behind the last, whether it counts verbatim) of every `width` tokens, read in one way.
+    def windows(self, way: int, width: int, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, text, first word, word behind the last, whether it counts verbatim) of every `width` tokens of one text,
+        read in one way; wanted tells which hashes of many to keep.
 
         A window with fewer than two words that aren't placeholders says little; it is hashed as it stands."""
         name = self.names[way]
-        slot = np.where(self.quantity, QTY, np.where(self.number, NUM, np.where(name, NAME, 0)))
+        slot = np.zeros(len(name), dtype=np.uint8)
+        slot[name] = NAME
+        slot[self.number] = NUM
+        slot[self.quantity] = QTY
         # units and further words of a name are part of the value of the token before
-        at = np.flatnonzero(~self.unit & ~((slot == NAME) & (_before(slot, 0) == NAME)))
+        named = slot == NAME
+        at = np.flatnonzero(~(self.unit | (named & self._before(named))))
         if len(at) < width:
             none = np.empty(0, dtype=np.int64)
-            return none.astype(np.uint64), none, none, none.astype(bool)
+            return none.astype(np.uint64), none, none, none, none.astype(bool)
         raw, slot = self.hashes[at], slot[at]
         tokens = raw.copy()
         for k, h in _HOLD.items():
             tokens[slot == k] = h
         h = W.mix(W.grams(tokens, width, W.BASE_A) ^ np.uint64(width))
-        plain = np.r_[0, np.cumsum(slot == 0)]
+        plain = np.zeros(len(slot) + 1, dtype=np.int32)
+        np.cumsum(slot == 0, out=plain[1:])
         verbatim = plain[width:] - plain[:-width] < 2
-        if verbatim.any():
-            h = np.where(verbatim, W.mix(W.grams(raw, width, W.BASE_B) ^ np.uint64(width)), h)
-        edge = np.r_[at, len(self.ids)]
-        return h, at[: len(h)], edge[width:], verbatim
+        v = np.flatnonzero(verbatim)
+        if len(v):
+            # the windows of the rows of `width` words each that begin with them
+            rows = raw[v[:, None] + np.arange(width)].ravel()
+            h[v] = W.mix(W.grams(rows, width, W.BASE_B)[::width] ^ np.uint64(width))
+        keep = np.arange(len(h)) if wanted is None else wanted(h)
+        edge = np.r_[at, len(self.hashes)]
+        first, last = edge[keep], edge[keep + width]
+        text = np.searchsorted(self.start, first, "right") - 1
+        inside = last <= self.start[text + 1]
+        return h[keep][inside], text[inside], first[inside], last[inside], verbatim[keep][inside]
+
+    def surface(self, i: int) -> str:
+        return self.words.surface[self.words[self.whole[self.begin[i] : self.stop[i]]]]
 
     def values(self, way: int, lo: int, hi: int) -> list[str]:
         """What stands behind the placeholders of a window."""
@@ -180,9 +288,9 @@ class Reading:
         for i in range(lo, hi):
             if self.unit[i] or (name[i] and was):
                 if out:
-                    out[-1] += " " + self.surface[self.ids[i]]
+                    out[-1] += " " + self.surface(i)
             elif self.number[i] or self.quantity[i] or name[i]:
-                out.append(self.surface[self.ids[i]])
+                out.append(self.surface(i))
             was = bool(name[i]) and not (self.number[i] or self.quantity[i])
         return out
 
@@ -205,14 +313,14 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             text = text.as_py()
             if key is None or not text:
                 continue
-            r = canonical.read(text)
+            r = canonical.read([text])
             for way in range(3):
                 for width in range(WIDTH, 0, -1):
-                    h, first, last, verbatim = r.windows(way, width)
+                    h, _, first, last, verbatim = r.windows(way, width)
                     if len(h):
                         break
                 for at, (x, lo, hi, v) in enumerate(zip(h.view(np.int64).tolist(), first.tolist(), last.tolist(), verbatim.tolist())):
-                    rows.append((x, key, 0, way, width, at, lo, len(r.ids), [] if v else r.values(way, lo, hi)))
+                    rows.append((x, key, 0, way, width, at, lo, len(r.hashes), [] if v else r.values(way, lo, hi)))
         if rows:
             yield _batch(rows)
 
@@ -227,37 +335,53 @@ def _found_windows(widths: list[int], thin):
             bitmap = np.zeros(1 << bits, dtype=bool)
             low = np.uint64((1 << bits) - 1)
             bitmap[known & low] = True
+
+        def wanted(h: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(bitmap[h & low])
+            return at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
+
         canonical = Canonical()
         for batch in batches:
             rows = []
-            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary())):
-                text = text.as_py()
-                if key is None or not text:
-                    continue
-                r = canonical.read(text)
-                tag = zlib.crc32(text)
+            for keys, texts in _together(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
+                r = canonical.read(texts)
+                tags = {}
                 for way in range(3):
-                    changed = r.names[way] != r.names[0]
-                    if way and not changed.any():
+                    sums = np.r_[0, np.cumsum(r.names[way] != r.names[0])]
+                    if way and not sums[-1]:
                         continue
-                    sums = np.r_[0, np.cumsum(changed)]
                     for width in widths:
-                        h, first, last, verbatim = r.windows(way, width)
-                        at = np.arange(len(h))
+                        h, text, first, last, verbatim = r.windows(way, width, None if known is None else wanted)
                         if way:
                             at = np.flatnonzero(sums[last] > sums[first])
-                        if known is not None:
-                            at = at[bitmap[h[at] & low]]
-                            if len(at):
-                                at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
-                        for x, lo, hi, v in zip(h[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist(), verbatim[at].tolist()):
-                            rows.append((x, key, tag, way, width, 0, lo, 0, [] if v else r.values(way, lo, hi)))
+                            h, text, first, last, verbatim = h[at], text[at], first[at], last[at], verbatim[at]
+                        place = first - r.start[text]
+                        for x, i, lo, hi, p, v in zip(h.view(np.int64).tolist(), text.tolist(), first.tolist(), last.tolist(), place.tolist(), verbatim.tolist()):
+                            if i not in tags:
+                                tags[i] = zlib.crc32(texts[i])
+                            rows.append((x, keys[i], tags[i], way, width, 0, p, 0, [] if v else r.values(way, lo, hi)))
             if rows:
                 yield _batch(rows)
 
     return run
 
 
+def _together(keys: list, texts: list) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Keys and texts, without null keys and null or empty texts, in groups of some TOGETHER bytes."""
+    some, size = ([], []), 0
+    for key, text in zip(keys, texts):
+        if key is None or not text:
+            continue
+        some[0].append(key)
+        some[1].append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield some
+            some, size = ([], []), 0
+    if some[0]:
+        yield some
+
+
 KEY = ["id", "tag", "item_id", "way", "stretch"]
 
 
